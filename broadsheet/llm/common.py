@@ -7,8 +7,10 @@ executors); only where that is unset, as in tests, a temporary folder is used.
 from __future__ import annotations
 
 import atexit
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,5 +93,20 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_broadsheet_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    target = pathlib.Path(tempfile.mkdtemp(prefix="broadsheet-ship-")) / f"broadsheet-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._broadsheet_shipped = True
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

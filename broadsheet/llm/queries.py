@@ -13,6 +13,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(tables(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadsheet.llm import common, tokenfiles
+
+    path = common.scratch_path(spark, "token-files")
+    tokenfiles.write_token_files(tables(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"))
+    return tokenfiles.read_token_files(spark, path)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadsheet.llm.packing import pack_documents
+
+    return pack_documents(tables(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from broadsheet.llm.mixing import mix_sources
 
@@ -53,6 +73,8 @@ JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source AND r.h = c.h
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_token_files": op2_token_files,
+        "op3_packing": op3_packing,
         "op10_mixing": op10_mixing,
     }
 
