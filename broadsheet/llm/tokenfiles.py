@@ -39,15 +39,24 @@ PAD = int(COUNTS[0])
 FILE_SCHEMA = "part int, segment int, n_docs int, n_ids long, data binary"
 
 
-def _selectors(ids: np.ndarray) -> np.ndarray:
-    """For each place of (blocks, BLOCK + PAD) ids: the selector that packs most ids from there."""
-    bits = np.zeros(ids.shape, np.uint8)
-    wide = ids
+_SHORT_WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """The number of bits of each id."""
+    if not ids.size or ids.max() < 1 << 16:
+        return _SHORT_WIDTHS[ids]
+    bits, wide = np.zeros(ids.shape, np.uint8), ids
     for step in (32, 16, 8, 4, 2, 1):
         over = wide >= (np.uint64(1) << np.uint64(step))
         bits += over.astype(np.uint8) * np.uint8(step)
         wide = np.where(over, wide >> np.uint64(step), wide)
-    bits += wide.astype(np.uint8)
+    return bits + wide.astype(np.uint8)
+
+
+def _selectors(ids: np.ndarray) -> np.ndarray:
+    """For each place of (blocks, BLOCK + PAD) ids: the selector that packs most ids from there."""
+    bits = _widths(ids)
     flat = np.concatenate([bits.ravel(), np.zeros(PAD, np.uint8)])
     n = bits.size
     largest = {1: flat}
@@ -61,9 +70,10 @@ def _selectors(ids: np.ndarray) -> np.ndarray:
             m = largest[have].copy()
             np.maximum(m[: len(m) - have], largest[rest][have:], out=m[: len(m) - have])
             largest[count] = m
-    best = np.full(n, ESCAPE, np.uint8)
-    for s in reversed(range(len(COUNTS))):
-        best[largest[int(COUNTS[s])][:n] <= BITS[s]] = s
+    # Fewer ids in a word always fit if more do, so the selectors that do not fit are the first ones.
+    best = np.zeros(n, np.uint8)
+    for count, bit in zip(COUNTS.tolist(), BITS.tolist(), strict=True):
+        best += largest[count][:n] > bit
     return best.reshape(ids.shape)
 
 
