@@ -79,6 +79,31 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"), "score", predicted)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadsheet.llm.jaccard import similar_documents
+
+    return similar_documents(tables(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM n
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY ALL
+"""
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from broadsheet.llm.topk import top_k
 
@@ -141,10 +166,11 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_chat": op4_chat,
         "op5_toxicity": op5_toxicity,
+        "op7_jaccard": op7_jaccard,
         "op8_topk": op8_topk,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op8_topk": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op10_mixing": OP10_SQL}
