@@ -10,7 +10,9 @@ Texts become sets of hashed word shingles. Documents with equal sets are one cla
    ``need(size)`` recurring shingles; the prefix is the first ``size - need(size) + 1``.
 3. Blocks. Survivors whose smallest recurring hash is equal meet in blocks of bounded size, where each is compared with the leaders
    so far; leaders of a divided block meet again. This finds most links of large groups at linear cost.
-4. Grouped prefix join. Documents with identical prefixes and size are one group; group pairs that share a
+4. Stars. Components that share a prefix shingle with a larger one try a few pairs with it, as many as are linear in the
+   postings, so that the components of a large group grow together.
+5. Grouped prefix join. Documents with identical prefixes and size are one group; group pairs that share a
    prefix shingle are filtered by size, by position, and by lying in different components already; what is left is
    expanded to members and verified on the whole sets. Only pairs whose link would change no component are passed over.
 
@@ -39,6 +41,9 @@ BUCKET_TOKENS = 2_000_000
 LEAST_BUCKETS = 32
 BLOCK_ROWS = 256
 LEVELS = 3
+#: Rounds of step 4, and pairs of two components that each tries.
+STAR_ROUNDS = 3
+TRIES = 6
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -278,9 +283,17 @@ def leader_links(members: DataFrame, blocks: int, least: int) -> tuple[DataFrame
     return found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("id"), "n", "bkey", "tokens")
 
 
-def candidate_pairs(members: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """Distinct pairs (a < b) of members of different components that the grouped prefix join lets through."""
-    schema = "gkey long, n long, component long, id long, token long, place int"
+POSTINGS = "gkey long, n long, component long, id long, token long, place int"
+
+
+def named_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members without their sets, with their components so far."""
+    named = members.join(labels, members.id == labels.node, "left").withColumn("component", F.coalesce("component", "id"))
+    return common.scratch(named.select("gkey", "n", "component", "id", "prefix", "places"), "jaccard-named")
+
+
+def posted(rows: DataFrame) -> DataFrame:
+    """POSTINGS of the recurring shingles of the prefixes."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,14 +301,36 @@ def candidate_pairs(members: DataFrame, labels: DataFrame, least: int) -> DataFr
             places = blobs.from_blobs(batch.column(5), "<i4")[0]
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             columns = {c: batch.column(i).to_numpy(zero_copy_only=False)[row] for i, c in enumerate(("gkey", "n", "component", "id"))}
-            yield blobs.table(columns | {"token": tokens.view(np.int64), "place": places}, schema)
+            yield blobs.table(columns | {"token": tokens.view(np.int64), "place": places}, POSTINGS)
 
-    named = members.join(labels, members.id == labels.node, "left").withColumn("component", F.coalesce("component", "id"))
-    named = common.scratch(named.select("gkey", "n", "component", "id", "prefix", "places"), "jaccard-named")
+    return rows.mapInArrow(spread, POSTINGS)
+
+
+def star_pairs(named: DataFrame, least: int, seed: int) -> DataFrame:
+    """A few pairs (a, b) for each component that shares a prefix shingle with a larger one.
+
+    Per shingle, one member stands for each component, and is paired with the one of the component that has the most
+    documents there; of the pairs of two components, ``TRIES`` are kept. So the number of pairs is linear in the postings.
+    """
+    rows = posted(named.select("gkey", "n", "component", "id", "prefix", "places"))
+    drawn = F.xxhash64("id", "token", F.lit(seed))
+    here = rows.groupBy("token", "component").agg(F.count("*").alias("k"), F.min_by(F.struct("id", "n"), drawn).alias("one"))
+    here = common.scratch(here, "jaccard-stars")
+    hub = here.groupBy("token").agg(F.max_by(F.struct("component", "one"), F.struct("k", F.xxhash64("component", F.lit(seed)))).alias("hub"), F.count("*").alias("m"))
+    met = here.join(hub.where("m > 1"), "token").where(F.col("hub.component") != F.col("component"))
+    met = met.where(100 * F.least("one.n", "hub.one.n") >= least * F.greatest("one.n", "hub.one.n"))
+    a, b = F.col("one.id"), F.col("hub.one.id")
+    tries = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(a, b).alias("h"), a.alias("a"), b.alias("b")))), 1, TRIES)
+    chosen = met.groupBy("component", F.col("hub.component").alias("other")).agg(tries.alias("tries"))
+    return chosen.select(F.explode("tries").alias("t")).select("t.a", "t.b")
+
+
+def candidate_pairs(named: DataFrame, least: int) -> DataFrame:
+    """Distinct pairs (a, b) of members of different components that the grouped prefix join lets through."""
     # A group is the documents of one prefix, size and component; one of them stands for it.
     groups = named.groupBy("gkey", "n", "component").agg(F.min("id").alias("id"))
     heads = named.join(groups.select("id"), "id", "left_semi").select("gkey", "n", "component", "id", "prefix", "places")
-    postings = common.scratch(heads.mapInArrow(spread, schema), "jaccard-postings")
+    postings = common.scratch(posted(heads), "jaccard-postings")
     spans = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_postings = common.scratch(postings.join(spans, "token", "left_semi"), "jaccard-open")
     x, y = (open_postings.select(*[F.col(c).alias(f"{k}_{c}") for c in open_postings.columns]) for k in "xy")
@@ -331,6 +366,22 @@ def verified(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "at", "bt").mapInArrow(run, "a long, b long")
 
 
+def component_links(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) as links between the components of their ends."""
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    named = links.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    return named.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b")).where("a <> b").distinct()
+
+
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links between components."""
+    merged = common.scratch(components(links), "jaccard-merged")
+    new = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    moved = labels.join(new, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    alone = merged.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return moved.unionByName(alone)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """(id, n_shingles, component_id) per input row; least: similarity in hundredths."""
     heads = common.scratch(document_heads(docs, id_col, text_col, words, least), "jaccard-heads")
@@ -352,18 +403,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         links = found if links is None else links.unionByName(found)
         if not rest.limit(1).count():
             break
-    first = common.scratch(components(links), "jaccard-components")
-    pairs = common.scratch(candidate_pairs(members, first, least), "jaccard-pairs")
-    late = verified(pairs, members, least)
-    # Links between components, as links between their smallest members.
-    name = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    late = late.join(name("a"), "a", "left").join(name("b"), "b", "left")
-    late = late.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
-    merged = components(late)
-    final = first.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
-    final = final.select("node", F.coalesce("root", "component").alias("root"))
-    alone = merged.join(first.select("node"), "node", "left_anti").select("node", F.col("component").alias("root"))
-    roots = final.unionByName(alone)
+    labels = common.scratch(components(links), "jaccard-components")
+    for seed in range(STAR_ROUNDS):
+        named = named_members(members, labels)
+        new = common.scratch(component_links(verified(star_pairs(named, least, seed), members, least), labels), "jaccard-new")
+        if not new.limit(1).count():
+            break
+        labels = common.scratch(merged_labels(labels, new), "jaccard-components")
+        common.drop(named)
+    else:
+        named = named_members(members, labels)
+    pairs = common.scratch(candidate_pairs(named, least), "jaccard-pairs")
+    roots = merged_labels(labels, component_links(verified(pairs, members, least), labels)).withColumnRenamed("component", "root")
     classes = small.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("k"))
     named = classes.join(roots, classes.rep == roots.node, "left").where("k > 1 OR root IS NOT NULL")
     named = named.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("root", "rep").alias("root"))
