@@ -122,6 +122,31 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadsheet.llm.substring import dedup_passages
+
+    return dedup_passages(tables(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 19 + 1)) AS i FROM w WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM g) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM f, (SELECT unnest(range(20)) AS j)),
+k AS (
+  SELECT x.doc_id, x.i, x.word, gone.i IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w) x LEFT JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i),
+r AS (
+  SELECT doc_id, count(*) AS n_words, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+         string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from broadsheet.llm.mixing import mix_sources
 
@@ -168,9 +193,10 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op7_jaccard": op7_jaccard,
         "op8_topk": op8_topk,
+        "op9_substring": op9_substring,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op9_substring": OP9_SQL, "op10_mixing": OP10_SQL}
