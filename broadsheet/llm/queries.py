@@ -79,6 +79,29 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"), "score", predicted)
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from broadsheet.llm.neardup import near_duplicates
+
+    return near_duplicates(tables(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n.k, 0) AS n_links, c.component_id, c.a = c.component_id AS kept FROM c LEFT JOIN n ON c.a = n.a
+"""
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from broadsheet.llm.jaccard import similar_documents
 
@@ -191,6 +214,7 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_chat": op4_chat,
         "op5_toxicity": op5_toxicity,
+        "op6_neardup": op6_neardup,
         "op7_jaccard": op7_jaccard,
         "op8_topk": op8_topk,
         "op9_substring": op9_substring,
@@ -199,4 +223,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op9_substring": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op6_neardup": OP6_SQL, "op7_jaccard": OP7_SQL, "op8_topk": OP8_SQL, "op9_substring": OP9_SQL, "op10_mixing": OP10_SQL}
