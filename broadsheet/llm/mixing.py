@@ -59,24 +59,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3),
-    max_epochs: int = 3,
-) -> DataFrame:
-    """One row per input row: id, size, source, source_size, target, copies, taken (= copies * size)."""
-    rows = common.scratch(
-        df.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            common.n_words(text_col).alias("size"),
-            hash48(id_col).alias("h"),
-        ),
-        "mix-rows",
+def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    columns = (
+        F.col(id_col).alias("id"),
+        F.col(source_col).cast("string").alias("source"),
+        common.n_words(text_col).alias("size"),
+        hash48(id_col).alias("h"),
     )
+    return common.scratch(df.select(*columns), "mix-rows")
+
+
+def source_thresholds(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """(source, size, h) rows -> one row per source: s_source, source_size, target, base, threshold.
+
+    A row is taken ``base`` times, and once more if its hash h is below ``threshold``.
+    """
     per = source_targets(rows, weights, max_epochs)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     per = per.withColumn("base", base).withColumn("budget", F.col("target") - F.col("base") * F.col("source_size"))
@@ -114,14 +111,45 @@ def mix_sources(
             .drop("cut"),
             "mix-sources",
         )
-    ends = hint(state.select(F.col("source").alias("s_source"), "source_size", "target", "base", F.col("prefix").alias("threshold")))
-    copies = F.col("base") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    return hint(state.select(F.col("source").alias("s_source"), "source_size", "target", "base", F.col("prefix").alias("threshold")))
+
+
+def _copies() -> F.Column:
+    return F.col("base") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+
+
+def mix_sources(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    max_epochs: int = 3,
+) -> DataFrame:
+    """One row per input row: id, size, source, source_size, target, copies, taken (= copies * size)."""
+    rows = _rows(df, id_col, text_col, source_col)
+    ends = source_thresholds(rows, weights, max_epochs)
     return rows.join(ends, rows.source.eqNullSafe(F.col("s_source"))).select(
         F.col("id").alias(id_col),
         "size",
         F.col("source").alias("source"),
         "source_size",
         "target",
-        copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+        _copies().alias("copies"),
+        (_copies() * F.col("size")).alias("taken"),
     )
+
+
+def mixed_rows(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    max_epochs: int = 3,
+) -> DataFrame:
+    """The rows of the mix: every input row as often as it is taken, with the columns of the input."""
+    ends = source_thresholds(_rows(df, id_col, text_col, source_col), weights, max_epochs)
+    whole = df.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), hash48(id_col).alias("h"))
+    joined = whole.join(ends, F.col("source").eqNullSafe(F.col("s_source"))).select("row", _copies().alias("copies"))
+    return joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -76,7 +76,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
     scored = toxicity_scores(docs, labels, _fold("doc_id") != 0)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
-    return scored.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"), "score", predicted)
+    return scored.select("doc_id", (_fold("doc_id") == 0).alias("held_out"), "score", predicted)
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,6 @@ BITS = 20
 MOST_ROWS = 16_384
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 0.1, 8.0, 0.01
-SCORES = "id long, score double"
 
 _TRIM = np.zeros(256, bool)
 _TRIM[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -108,11 +107,13 @@ def train(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tup
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id and score (0 to 1) of every row; ``keep``: further columns to hand through."""
+    """id_col, the columns ``keep``, and score (0 to 1) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
     keep = keep or []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", score double"
+    names = [f"keep_{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(id_col).alias("keep_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{n} {kinds[n]}" for n in ["keep_id", *names]) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = sent.value
@@ -131,9 +132,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
             if not len(at):
                 probability = np.zeros(batch.num_rows)
             columns = [batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array(probability)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", *keep, "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=["keep_id", *names, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(F.col("keep_id").alias(id_col), *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
