@@ -24,6 +24,8 @@ from broadsheet.llm import common
 
 BUNDLES = 1024
 LANES = 32
+#: Bundles of a (shard, lane) group in which movers are ranked; few lanes round quotas less.
+BUNDLES_PER_LANE = 2_000
 #: Rows of a (shard, lane) group in which slots are numbered.
 ROWS_PER_LANE = 100_000
 
@@ -32,12 +34,12 @@ def _hash(*cols) -> F.Column:
     return F.xxhash64(*cols)
 
 
-def _admitted(movers: DataFrame, room: DataFrame) -> DataFrame:
+def _admitted(movers: DataFrame, room: DataFrame, lanes_n: int) -> DataFrame:
     """Movers (gid, bundle, n, want, gain) that fit into the room (shard, room) of the shard they want."""
-    lanes = movers.withColumn("lane", F.pmod(_hash("gid", "bundle"), F.lit(LANES)))
+    lanes = movers.withColumn("lane", F.pmod(_hash("gid", "bundle"), F.lit(lanes_n)))
     asked = lanes.groupBy("want", "lane").agg(F.sum("n").alias("asked"))
     total = asked.groupBy("want").agg(F.sum("asked").alias("all_asked"))
-    # At most shards * LANES rows.
+    # One row per shard and lane.
     quota = (
         asked.join(F.broadcast(total), "want")
         .join(F.broadcast(room.withColumnRenamed("shard", "want")), "want")
@@ -48,7 +50,7 @@ def _admitted(movers: DataFrame, room: DataFrame) -> DataFrame:
     return lanes.withColumn("upto", upto).join(F.broadcast(quota), ["want", "lane"]).where("upto <= quota").select("gid", "bundle", "want")
 
 
-def _round(bundles: DataFrame, room: DataFrame) -> DataFrame:
+def _round(bundles: DataFrame, room: DataFrame, lanes_n: int) -> DataFrame:
     """One round: each bundle's label after the moves that the quotas admit."""
     cells = bundles.where("shard IS NOT NULL").groupBy("gid", "shard").agg(F.sum("n").alias("has"))
     cells = cells.join(F.broadcast(room), "shard")
@@ -73,7 +75,7 @@ def _round(bundles: DataFrame, room: DataFrame) -> DataFrame:
     )
     moves = wanted.where(F.col("to").isNotNull() & ~F.col("to").eqNullSafe(F.col("shard")))
     movers = moves.select("gid", "bundle", "n", F.col("to").alias("want"), (F.col("has") - F.coalesce("own", F.lit(0))).alias("gain"))
-    admitted = _admitted(movers, room)
+    admitted = _admitted(movers, room, lanes_n)
     return bundles.join(admitted, ["gid", "bundle"], "left").select("gid", "bundle", "n", F.coalesce("want", "shard").alias("shard"))
 
 
@@ -111,15 +113,16 @@ def shard_documents(
     n_rows = heads.count()
     most = n_rows // n_shards  # the quota that every shard has, whichever get the rows left over
 
+    lanes_n = max(1, -(-linked.count() // (n_shards * BUNDLES_PER_LANE)))
     start = linked.withColumn("shard", F.lit(None).cast("int"))
     first = linked.select(
         "gid", "bundle", "n", F.pmod(_hash("gid", "bundle", F.lit(1)), F.lit(n_shards)).cast("int").alias("want"), F.lit(0).cast("long").alias("gain")
     )
     room = _room(spark, start, n_shards, most)
-    bundles = start.join(_admitted(first, room), ["gid", "bundle"], "left").select("gid", "bundle", "n", F.col("want").alias("shard"))
+    bundles = start.join(_admitted(first, room, lanes_n), ["gid", "bundle"], "left").select("gid", "bundle", "n", F.col("want").alias("shard"))
     bundles = common.scratch(bundles, "shard-labels")
     for _ in range(rounds):
-        after = common.scratch(_round(bundles, _room(spark, bundles, n_shards, most)), "shard-labels")
+        after = common.scratch(_round(bundles, _room(spark, bundles, n_shards, most), lanes_n), "shard-labels")
         moved = after.join(bundles.withColumnRenamed("shard", "was").drop("n"), ["gid", "bundle"]).where(~F.col("shard").eqNullSafe(F.col("was"))).limit(1).count()
         common.drop(bundles)
         bundles = after
