@@ -129,8 +129,22 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after links a-b; every entry points to the smallest of its component."""
+    while True:
+        x, y = root[a], root[b]
+        if not (open_ := x != y).any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
-    """Links (a, b) between classes (id, v) of one dimension."""
+    """(id, k, other) for classes (id, v, m) of one dimension: k vectors linked with id in a group, other: a class linked with it.
+
+    A group sums its links and keeps a tree of each component, so its rows do not grow with the square of a component.
+    """
     spark = classes.sparkSession
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
@@ -139,7 +153,7 @@ def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
     lists = len(quantiser.centres)
     groups = max(LEAST_GROUPS, -(-n // GROUP_ROWS))
     sent = spark.sparkContext.broadcast(quantiser)
-    schema = "place int, asks boolean, id long, list int, v array<double>"
+    schema = "place int, asks boolean, id long, list int, v array<double>, m long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
@@ -159,7 +173,7 @@ def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
                 asks = np.arange(len(row)) >= len(x)
                 take = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(place, pa.int32()), pa.array(asks), take.column(0), pa.array(at[row], pa.int32()), take.column(1)], names=["place", "asks", "id", "list", "v"]
+                    [pa.array(place, pa.int32()), pa.array(asks), take.column(0), pa.array(at[row], pa.int32()), take.column(1), take.column(2)], names=["place", "asks", "id", "list", "v", "m"]
                 )
 
     def search(table: pa.Table) -> pa.Table:
@@ -171,7 +185,10 @@ def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
         at, codes, error, fixed = q.encode(unit[held])
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(lists + 1))
-        found_a, found_b = [], []
+        names, node = np.unique(ids, return_inverse=True)
+        many = np.zeros(len(names), np.int64)
+        many[node] = table.column("m").to_numpy()
+        root, k_sum = np.arange(len(names)), np.zeros(len(names), np.int64)
         queries = np.flatnonzero(asks)
         for i in range(0, len(queries), TILE):
             rows = queries[i : i + TILE]
@@ -179,6 +196,7 @@ def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
             must = q.probes(x) & (np.arange(lists) >= own[rows][:, None])
             tables = q.tables(x)
             far = ((x[:, None, :] - q.centres[None, :, :]) ** 2).sum(-1) if lists * len(x) < 1 << 15 else (x**2).sum(1)[:, None] + (q.centres**2).sum(1) - 2 * x @ q.centres.T
+            found_a, found_b = [], []
             for c in np.flatnonzero(must.any(0) & (np.diff(cuts) > 0)).tolist():
                 asking, members = np.flatnonzero(must[:, c]), order[cuts[c] : cuts[c + 1]]
                 dot = sum(tables[s][codes[members, s]][:, asking] for s in range(len(q.parts)))
@@ -187,16 +205,20 @@ def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
                 m, k = np.nonzero(square <= most[:, None])
                 found_a.append(rows[asking[k]])
                 found_b.append(held[members[m]])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        once = (own[a] < own[b]) | (ids[a] < ids[b])
-        a, b = a[once], b[once]
-        exact = np.concatenate([_cosines(raw[a[i : i + 65536]], raw[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
-        a, b = a[exact >= least], b[exact >= least]
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
-
-    dealt = classes.select("id", "v").mapInArrow(deal, schema)
-    return dealt.groupBy("place").applyInArrow(search, "a long, b long").where("a <> b")
+            a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
+            b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
+            once = (own[a] < own[b]) | (ids[a] < ids[b])
+            a, b = a[once], b[once]
+            exact = np.concatenate([_cosines(raw[a[k : k + 65536]], raw[b[k : k + 65536]]) for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
+            a, b = node[a[exact >= least]], node[b[exact >= least]]
+            np.add.at(k_sum, a, many[b])
+            np.add.at(k_sum, b, many[a])
+            root = _unite(root, a, b)
+        some = np.flatnonzero(k_sum)
+        return pa.table({"id": pa.array(names[some], pa.int64()), "k": pa.array(k_sum[some], pa.int64()), "other": pa.array(names[root[some]], pa.int64())})
+
+    dealt = classes.select("id", "v", "m").mapInArrow(deal, schema)
+    return dealt.groupBy("place").applyInArrow(search, "id long, k long, other long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
@@ -211,14 +233,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     dims = sorted(r.d for r in classes.select(F.size("v").alias("d")).distinct().limit(MOST_DIMS + 1).collect())
     if len(dims) > MOST_DIMS:
         raise ValueError(f"vectors of over {MOST_DIMS} different dimensions")
-    links = df.sparkSession.createDataFrame([], "a long, b long")
+    links = df.sparkSession.createDataFrame([], "id long, k long, other long")
     for d in dims:
         links = links.unionByName(_links(classes.where(F.size("v") == d), d, least))
     links = common.scratch(links, "neardup-links")
-    names = components(links)
-    sizes = classes.select(F.col("id").alias("other"), "m")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sizes, F.col("b") == F.col("other")).groupBy("a").agg(F.sum("m").alias("k"))
+    names = components(links, "id", "other")
+    linked = links.groupBy(F.col("id").alias("a")).agg(F.sum("k").alias("k"))
     named = (
         classes.drop("v")
         .join(names, F.col("id") == F.col("node"), "left")
