@@ -140,7 +140,7 @@ def pack_documents(
         packer = Packer(window, base=TaskContext.get().partitionId() << NUMBER_BITS)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for row, texts in wordhash.steps(batch.column(1)):
+            for row, texts in wordhash.steps(batch.column(1), tokens.STEP_BYTES):
                 ids, at = encoder.with_end(texts, end_id)
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     packer.add(keys[row + k], ids[a:b])

@@ -265,41 +265,43 @@ def dedup_passages(
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([f"`{c}` {fields[c]}" for c in held] + ["n_words long", "n_removed long", "kept_sha256 string"] + ["kept_text string"] * with_text)
 
-    def result(table: pa.Table, n_words: list[int], removed: list[int], kept: list[bytes]) -> pa.Table:
+    def result(table: pa.Table, first: np.ndarray | None = None, stays: np.ndarray | None = None) -> pa.Table:
+        """The rows of the result; stays: for each word of the table whether it is kept. One text's words are held at a time."""
+        n_words, removed, hashes, kept_texts = [], [], [], []
+        for i, text in enumerate(table.column("text")):
+            words = (text.as_py() or "").encode().split()
+            gone = 0
+            if stays is not None:
+                mine = stays[first[i] : first[i + 1]]
+                gone = len(words) - int(mine.sum())
+                if gone:
+                    n = len(words)
+                    words = list(compress(words, mine.tolist()))
+            kept = b" ".join(words)
+            n_words.append(n if gone else len(words))
+            removed.append(gone)
+            hashes.append(hashlib.sha256(kept).hexdigest())
+            if with_text:
+                kept_texts.append(kept.decode() if gone else text.as_py())
         out = table.select(held)
         out = out.append_column("n_words", pa.array(n_words, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
-        out = out.append_column("kept_sha256", pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()))
-        if with_text:
-            texts = table.column("text").to_pylist()
-            out = out.append_column("kept_text", pa.array([k.decode() if r else t for k, r, t in zip(kept, removed, texts, strict=True)], pa.string()))
-        return out
-
-    def words_of(table: pa.Table) -> list[list[bytes]]:
-        return [(t or "").encode().split() for t in table.column("text").to_pylist()]
+        out = out.append_column("kept_sha256", pa.array(hashes, pa.string()))
+        return out.append_column("kept_text", pa.array(kept_texts, pa.string())) if with_text else out
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         docs = left.take(pc.sort_indices(left, [("at", "ascending")]))
-        words = words_of(docs)
-        first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        counts = [len((t.as_py() or "").encode().split()) for t in docs.column("text")]
+        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         place = blobs.from_blobs(right.column("place"), "<i4")[0].astype(np.int64)
         marks = np.zeros(first[-1] + 1, np.int32)
         np.add.at(marks, place, 1)
         np.add.at(marks, place + window, -1)
-        stays = np.cumsum(marks)[:-1] == 0
-        kept, removed = [], []
-        for w, a, b in zip(words, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            mine = stays[a:b]
-            gone = b - a - int(mine.sum())
-            removed.append(gone)
-            kept.append(b" ".join(compress(w, mine.tolist()) if gone else w))
-        return result(docs, [len(w) for w in words], removed, kept)
+        return result(docs, first, np.cumsum(marks)[:-1] == 0)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            words = words_of(table)
-            done = result(table, [len(w) for w in words], [0] * len(words), [b" ".join(w) for w in words])
-            yield from done.combine_chunks().to_batches()
+            for i in range(0, batch.num_rows, 1024):
+                yield from result(pa.Table.from_batches([batch.slice(i, 1024)])).combine_chunks().to_batches()
 
     final = found.where("kind = 0").select("shard", "at", "text", *held).groupBy("shard").cogroup(taken.groupBy("shard")).applyInArrow(cut, schema)
     final = final.unionByName(rest.select("text", *held).mapInArrow(plain, schema))

@@ -178,7 +178,7 @@ def write_token_files(
         encoder, part, segment = tokens.encoder(tokenizer_path, keep_space), TaskContext.get().partitionId(), 0
         for batch in batches:
             key = batch.column(0)
-            for row, texts in wordhash.steps(batch.column(1)):
+            for row, texts in wordhash.steps(batch.column(1), tokens.STEP_BYTES):
                 ids, at = encoder.with_end(texts, end_id)
                 doc = key.slice(row, len(at) - 1)
                 data = segment_bytes(doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False), np.diff(at), ids)

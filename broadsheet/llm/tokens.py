@@ -19,6 +19,7 @@ from broadsheet.llm import wordhash
 MOST_WORDS = 1_500_000
 #: New words that one call of the tokenizer takes together.
 GROUP = 64
+STEP_BYTES = 2 << 20
 END_ID = 1
 
 _encoders: dict[tuple[str, bool], CachedEncoder] = {}
@@ -42,7 +43,7 @@ class CachedEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.keys, self.row_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # word hashes in order, and their rows
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
         self.n_rows, self.n_ids = 0, 0
@@ -95,7 +96,7 @@ class CachedEncoder:
         starts = (np.cumsum(lengths) - lengths)[back]
         return ids[wordhash.ragged(starts, lengths[back])], lengths[back]
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
         ids, lengths = self._encode_words(words)
         n = len(words)
         total = int(lengths.sum())
@@ -105,7 +106,9 @@ class CachedEncoder:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.ids[self.n_ids : self.n_ids + total] = ids
         self.at[self.n_rows + 1 : self.n_rows + n + 1] = self.n_ids + np.cumsum(lengths)
-        self.rows.update(zip(hashes, range(self.n_rows, self.n_rows + n), strict=True))
+        at = np.searchsorted(self.keys, hashes)
+        self.row_of = np.insert(self.row_of, at, np.arange(self.n_rows, self.n_rows + n, dtype=np.int32))
+        self.keys = np.insert(self.keys, at, hashes)
         self.n_rows += n
         self.n_ids += total
 
@@ -153,16 +156,18 @@ class CachedEncoder:
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         hashes = wordhash.byte_hashes(texts.buf, starts, ends)
         unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        if self.n_rows + len(keys) > MOST_WORDS:
+        if self.n_rows + len(unique) > MOST_WORDS:
             self._forget()
-        row = np.fromiter((self.rows.get(k, -1) for k in keys), np.int64, len(keys))
+        row = np.full(len(unique), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
+            row = np.where(self.keys[at] == unique, self.row_of[at], -1).astype(np.int64)
         if len(new := np.flatnonzero(row < 0)):
             data = texts.buf.tobytes()
             at = where[new]
             words = [data[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             row[new] = np.arange(self.n_rows, self.n_rows + len(new))
-            self._add([keys[i] for i in new.tolist()], words)
+            self._add(unique[new], words)
         row = row[back]
         lengths = self.at[row + 1] - self.at[row]
         ids = self.ids[wordhash.ragged(self.at[row], lengths)]
@@ -183,4 +188,4 @@ def encoder(path: str, keep_space: bool) -> CachedEncoder:
 
 
 def text_steps(batch: pa.RecordBatch, text_col: str = "text"):
-    return wordhash.steps(batch.column(batch.schema.get_field_index(text_col)))
+    return wordhash.steps(batch.column(batch.schema.get_field_index(text_col)), STEP_BYTES)

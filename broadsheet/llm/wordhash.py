@@ -11,10 +11,12 @@ import pyarrow as pa
 
 _MASK = (1 << 64) - 1
 #: Bytes of text that one vectorised step looks at; a single longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _BASES = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93}
 _table = np.random.default_rng(20240501).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64)
+#: Longer tables of powers are made anew for the rare text that needs them.
+KEPT_POWERS = 1 << 21
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 SPACE = np.zeros(256, bool)
@@ -26,18 +28,23 @@ LOWER[65:91] += 32
 def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     size = 1 << max(12, int(n - 1).bit_length())
+    if size > KEPT_POWERS:
+        return _new_power(base, size)[:n]
     if (base, size) not in _powers:
-        low = np.full(4096, base, np.uint64)
-        low[0] = 1
-        low = np.multiply.accumulate(low)
-        step = pow(base, 4096, 1 << 64)
-        high = np.full(size // 4096, step, np.uint64)
-        high[0] = 1
-        high = np.multiply.accumulate(high)
-        _powers[base, size] = (high[:, None] * low[None, :]).ravel()
+        _powers[base, size] = _new_power(base, size)
     return _powers[base, size][:n]
 
 
+def _new_power(base: int, size: int) -> np.ndarray:
+    low = np.full(4096, base, np.uint64)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    high = np.full(size // 4096, pow(base, 4096, 1 << 64), np.uint64)
+    high[0] = 1
+    high = np.multiply.accumulate(high)
+    return (high[:, None] * low[None, :]).ravel()
+
+
 def _power_at(base: int, at: np.ndarray) -> np.ndarray:
     """base**at modulo 2**64, from two small tables."""
     top = int(at.max(initial=0))
