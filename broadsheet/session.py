@@ -1,7 +1,8 @@
-"""Sessions and lineage cuts of the engine."""
+"""Sessions, scratch tables in the shared folder, and the package for the executors."""
 
 from __future__ import annotations
 
+import atexit
 import pathlib
 import tempfile
 import uuid
@@ -9,6 +10,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_root: list[str] = []
+_folders: dict[str, list[str]] = {}
+
 
 def session(app: str = "broadsheet", **conf: str) -> SparkSession:
     """A session with the settings that results depend on: UTC, adaptive execution."""
@@ -18,12 +22,65 @@ def session(app: str = "broadsheet", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; our own if that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not _own_root:
+        _own_root.append("file://" + tempfile.mkdtemp(prefix="broadsheet-"))
+    return _own_root[0]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; it goes when the driver ends, or by ``drop_scratch``."""
+    app = spark.sparkContext.applicationId
+    path = f"{shared_root(spark).rstrip('/')}/broadsheet/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    _folders.setdefault(app, []).append(path)
+    return path
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, and the frame is computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder of ``spark.checkpoint.dir``; our own folder if that is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="broadsheet-checkpoint-"))
-    return df.checkpoint()
+    """Cut lineage by a scratch table."""
+    return scratch(df, "cut")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "scratch_path", None):
+            _delete(df.sparkSession, path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this application; results that still read them become unreadable."""
+    for path in _folders.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            drop_scratch(spark)
+        except Exception:  # noqa: BLE001 - the JVM may have gone already
+            pass
 
 
 def ship(spark: SparkSession) -> None:

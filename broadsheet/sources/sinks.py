@@ -17,6 +17,12 @@ EXPORT_COLUMNS = (
 )
 
 
+def relative_path(path: str, root: str) -> str:
+    """A path below a root, or as it is elsewhere. [FN-26]"""
+    root = root.rstrip("/") + "/"
+    return path.removeprefix(root)
+
+
 def write_payloads(payloads: DataFrame, path: str) -> None:
     """Raw bytes as a binary column. [SNK-01]"""
     payloads.write.mode("overwrite").parquet(path)

@@ -71,6 +71,18 @@ def test_documents_and_caches(spark, tmp_path):
     assert [(r.story_id, r.headline) for r in got] == [("x", "2")]
 
 
+def test_sql(spark):
+    frame = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    assert [r.x for r in readers.run_sql(spark, "SELECT x FROM things WHERE id = :id", {"id": 2}, things=frame).collect()] == ["b"]
+
+
+def test_paths(tmp_path):
+    assert sinks.relative_path("/a/b/c", "/a") == "b/c" and sinks.relative_path("/x/b", "/a") == "/x/b"
+    (tmp_path / "ca.pem").write_text("")
+    environ = {}
+    assert readers.use_ca_bundle(str(tmp_path / "ca.pem"), environ) and not readers.use_ca_bundle(str(tmp_path / "ca.pem"), environ)
+
+
 def test_settings():
     assert readers.settings({"key": "K"}, {"K": " v "}) == {"key": "v"}
     with pytest.raises(ValueError, match="K"):
