@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from broadsheet.llm import wordhash
 
@@ -45,6 +46,12 @@ def rows_of(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[n
     return values[wordhash.ragged(bounds[:-1][rows], sizes)], np.concatenate([[0], np.cumsum(sizes)])
 
 
+def filled(batch: pa.RecordBatch, *columns: str) -> pa.RecordBatch:
+    """The rows of a batch in which any of these binary columns is not empty."""
+    sizes = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    return batch.take(pa.array(np.flatnonzero(sizes)))
+
+
 def table(columns: dict[str, object], schema: str) -> pa.RecordBatch:
     """A batch with columns cast to the types of a schema in SQL notation."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}

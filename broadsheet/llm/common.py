@@ -1,88 +1,17 @@
-"""What the operators share: the shared scratch folder, column guards, sizes.
-
-Scratch tables cut lineage. They lie in the folder named by ``spark.checkpoint.dir`` (shared by driver and
-executors); only where that is unset, as in tests, a temporary folder is used.
-"""
+"""What the operators share: words, sizes, tables; scratch tables come from the library's session module."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.session import ship
+from broadsheet.session import drop, drop_scratch, scratch, scratch_path, shared_root, ship
+
+__all__ = ["WORD", "drop", "drop_scratch", "n_words", "scratch", "scratch_path", "shared_root", "ship", "tables", "text_or_empty"]
 
 #: The words of a text: runs of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_root: list[str] = []
-_folders: dict[str, list[str]] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; our own if that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not _own_root:
-        _own_root.append("file://" + tempfile.mkdtemp(prefix="broadsheet-"))
-    return _own_root[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it goes when the driver ends, or by ``drop_scratch``."""
-    app = spark.sparkContext.applicationId
-    path = f"{shared_root(spark).rstrip('/')}/broadsheet/{app}/{name}-{uuid.uuid4().hex[:12]}"
-    _folders.setdefault(app, []).append(path)
-    return path
-
-
-def scratch(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, with lineage cut."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def drop(*frames: DataFrame) -> None:
-    """Delete scratch tables that no later plan reads."""
-    for df in frames:
-        if path := getattr(df, "scratch_path", None):
-            _delete(df.sparkSession, path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this application; results that still read them become unreadable."""
-    for path in _folders.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
-
-
-@atexit.register
-def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        try:
-            drop_scratch(spark)
-        except Exception:  # noqa: BLE001 - the JVM may have gone already
-            pass
-
-
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -109,13 +109,14 @@ def recurring_in_prefix(heads: DataFrame, buckets: int) -> DataFrame:
             m_order, m_cuts = blobs.split(_bucket(multi, buckets), buckets)
             here = np.zeros(buckets + 1, np.int64)
             here[(turn * 7919 + int(tokens[0] % 1009 if len(tokens) else 0)) % buckets + 1 :] = len(some)
-            yield blobs.table(
+            rows = blobs.table(
                 {
                     "bucket": np.arange(buckets), "single": blobs.to_blobs(single[order], cuts), "owner": blobs.to_blobs(owner[order], cuts),
                     "multi": blobs.to_blobs(multi[m_order], m_cuts), "direct": blobs.to_blobs(ids[some], here), "counts": blobs.to_blobs(shared[some], here),
                 },
                 sent,
             )
+            yield blobs.filled(rows, "single", "multi", "direct")
 
     def count(table: pa.Table) -> pa.Table:
         single, owner, multi, direct, counts = (blobs.from_blobs(table.column(c), k)[0] for c, k in (("single", "<u8"), ("owner", "<i8"), ("multi", "<u8"), ("direct", "<i8"), ("counts", "<i8")))
@@ -170,13 +171,14 @@ def ordered_members(sets: DataFrame, chunks: int, buckets: int, least: int) -> D
             keys, size = np.unique(place, return_counts=True)
             key_cuts = np.searchsorted(keys // chunks, np.arange(buckets + 1))
             cuts = np.searchsorted(place // chunks, np.arange(buckets + 1))
-            yield blobs.table(
+            rows = blobs.table(
                 {
                     "bucket": np.arange(buckets), "chunk": blobs.to_blobs((keys % chunks).astype(np.int32), key_cuts), "size": blobs.to_blobs(size.astype(np.int32), key_cuts),
                     "tokens": blobs.to_blobs(tokens, cuts), "df": blobs.to_blobs(df, cuts),
                 },
                 sent,
             )
+            yield blobs.filled(rows, "tokens")
 
     def count(table: pa.Table) -> pa.Table:
         chunk, size, tokens, df = (blobs.from_blobs(table.column(c), k)[0] for c, k in (("chunk", "<i4"), ("size", "<i4"), ("tokens", "<u8"), ("df", "<u4")))
@@ -190,8 +192,9 @@ def ordered_members(sets: DataFrame, chunks: int, buckets: int, least: int) -> D
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1])
         tokens, of, total = tokens[new], of[new], total[new]
-        cuts = np.searchsorted(of, np.arange(chunks + 1))
-        return pa.Table.from_batches([blobs.table({"chunk": np.arange(chunks), "tokens": blobs.to_blobs(tokens, cuts), "df": blobs.to_blobs(total, cuts)}, answer)])
+        asked = np.unique(of)
+        cuts = np.append(np.searchsorted(of, asked), len(of))
+        return pa.Table.from_batches([blobs.table({"chunk": asked, "tokens": blobs.to_blobs(tokens, cuts), "df": blobs.to_blobs(total, cuts)}, answer)])
 
     def order(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("id").to_numpy()

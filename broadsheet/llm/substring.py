@@ -90,7 +90,7 @@ def recurring_anchors(rows: DataFrame, bounds: np.ndarray, buckets: int, window:
             order, cuts = blobs.split(_bucket(hashes[~again], buckets), buckets)
             a_order, a_cuts = blobs.split(_bucket(hashes[again], buckets), buckets)
             m_order, m_cuts = blobs.split(_bucket(multi, buckets), buckets)
-            yield blobs.table(
+            rows = blobs.table(
                 {
                     "bucket": np.arange(buckets), "single": blobs.to_blobs(hashes[~again][order], cuts), "owner": blobs.to_blobs(owner[~again][order], cuts),
                     "place": blobs.to_blobs(place[~again][order], cuts), "multi": blobs.to_blobs(multi[m_order], m_cuts),
@@ -98,6 +98,7 @@ def recurring_anchors(rows: DataFrame, bounds: np.ndarray, buckets: int, window:
                 },
                 sent,
             )
+            yield blobs.filled(rows, "single", "multi", "again_owner")
 
     def count(table: pa.Table) -> pa.Table:
         single, multi = (blobs.from_blobs(table.column(c), "<u8")[0] for c in ("single", "multi"))
@@ -193,7 +194,9 @@ def located(docs: DataFrame, answers: DataFrame, buckets: int, window: int, phra
         again = np.ones(len(at), bool)
         again[opens] = False
         b_order, cuts = blobs.split(_bucket(unique, buckets), buckets)
-        sent = {"kind": np.ones(buckets), "bucket": np.arange(buckets), "hash": blobs.to_blobs(unique[b_order], cuts), "place": blobs.to_blobs(at[opens][b_order].astype(np.int32), cuts)}
+        used = np.flatnonzero(np.diff(cuts))
+        cuts = np.append(cuts[used], cuts[-1])
+        sent = {"kind": np.ones(len(used)), "bucket": used, "hash": blobs.to_blobs(unique[b_order], cuts), "place": blobs.to_blobs(at[opens][b_order].astype(np.int32), cuts)}
         local = {"kind": np.array([2]), "bucket": np.array([-1]), "hash": pa.array([b""]), "place": pa.array([at[again].astype(np.int32).tobytes()])}
         parts = [pa.table({"kind": pa.array(p["kind"], pa.int32()), "bucket": pa.array(p["bucket"], pa.int32()), "hash": p["hash"], "place": p["place"]}) for p in (sent, local)]
         own = docs.append_column("kind", pa.array(np.zeros(len(keys)), pa.int32())).append_column("at", pa.array(np.arange(len(keys)), pa.int64())).drop_columns(["shard"])
