@@ -26,6 +26,7 @@ BUNDLES = 1024
 LANES = 32
 #: Bundles of a (shard, lane) group in which movers are ranked; few lanes round quotas less.
 BUNDLES_PER_LANE = 2_000
+STAY_SLOTS = 1024
 #: Rows of a (shard, lane) group in which slots are numbered.
 ROWS_PER_LANE = 100_000
 
@@ -34,56 +35,54 @@ def _hash(*cols) -> F.Column:
     return F.xxhash64(*cols)
 
 
-def _admitted(movers: DataFrame, room: DataFrame, lanes_n: int) -> DataFrame:
-    """Movers (gid, bundle, n, want, gain) that fit into the room (shard, room) of the shard they want."""
-    lanes = movers.withColumn("lane", F.pmod(_hash("gid", "bundle"), F.lit(lanes_n)))
-    asked = lanes.groupBy("want", "lane").agg(F.sum("n").alias("asked"))
-    total = asked.groupBy("want").agg(F.sum("asked").alias("all_asked"))
-    # One row per shard and lane.
-    quota = (
-        asked.join(F.broadcast(total), "want")
-        .join(F.broadcast(room.withColumnRenamed("shard", "want")), "want")
-        .select("want", "lane", F.floor(F.least(F.col("asked"), F.col("room") * F.col("asked") / F.col("all_asked"))).alias("quota"))
-    )
-    order = Window.partitionBy("want", "lane").orderBy(F.col("gain").desc(), "gid", "bundle")
+def _settled(wanted: DataFrame, room: list[int], lanes: int) -> DataFrame:
+    """Bundles (gid, bundle, n, shard, moved) after the moves that the quotas admit.
+
+    wanted: gid, bundle, n, shard, want (null: stays), gain. A lane of a shard gets its part of the shard's room, and admits its
+    movers in the order of their gain while they fit. Bundles that stay are dealt by hash, so no key gathers them.
+    """
+    spark = wanted.sparkSession
+    lane = F.col("want") * lanes + F.pmod(_hash("gid", "bundle"), F.lit(lanes)).cast("int")
+    rows = common.scratch(wanted.withColumn("slot", F.coalesce(lane, -1 - F.pmod(_hash("gid", "bundle"), F.lit(STAY_SLOTS)).cast("int"))), "shard-wanted")
+    asked = {r.slot: r.asked for r in rows.where("slot >= 0").groupBy("slot").agg(F.sum("n").alias("asked")).collect()}  # shards * lanes rows at most
+    total: dict[int, int] = {}
+    for slot, n in asked.items():
+        total[slot // lanes] = total.get(slot // lanes, 0) + n
+    quotas = [(slot, min(n, room[slot // lanes] * n // total[slot // lanes])) for slot, n in asked.items()]
+    quota = spark.createDataFrame(quotas, "slot int, quota long")
+    order = Window.partitionBy("slot").orderBy(F.col("gain").desc(), "gid", "bundle")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return lanes.withColumn("upto", upto).join(F.broadcast(quota), ["want", "lane"]).where("upto <= quota").select("gid", "bundle", "want")
-
-
-def _round(bundles: DataFrame, room: DataFrame, lanes_n: int) -> DataFrame:
-    """One round: each bundle's label after the moves that the quotas admit."""
-    cells = bundles.where("shard IS NOT NULL").groupBy("gid", "shard").agg(F.sum("n").alias("has"))
-    cells = cells.join(F.broadcast(room), "shard")
-    liked = Window.partitionBy("gid").orderBy(F.col("has").desc(), F.xxhash64("gid", "shard"), "shard")
-    holds = F.col("has") + F.col("room")
-    cells = cells.select(
-        F.col("gid").alias("c_gid"),
-        F.col("shard").alias("to"),
-        "has",
-        F.row_number().over(liked).alias("place"),
-        (F.sum(holds).over(liked.rowsBetween(Window.unboundedPreceding, 0)) - holds).alias("lo"),
-        F.sum(holds).over(liked.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"),
-    )
-    own = cells.select(F.col("c_gid").alias("gid"), F.col("to").alias("shard"), F.col("place"), F.col("has").alias("own"))
-    placed = bundles.join(own, ["gid", "shard"], "left")
-    inside = Window.partitionBy("gid").orderBy(F.coalesce("place", F.lit(1 << 30)), "bundle")
-    placed = placed.withColumn("at", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    wanted = placed.join(
-        cells.drop("place"),
-        (F.col("gid") == F.col("c_gid")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")),
-        "left",
-    )
-    moves = wanted.where(F.col("to").isNotNull() & ~F.col("to").eqNullSafe(F.col("shard")))
-    movers = moves.select("gid", "bundle", "n", F.col("to").alias("want"), (F.col("has") - F.coalesce("own", F.lit(0))).alias("gain"))
-    admitted = _admitted(movers, room, lanes_n)
-    return bundles.join(admitted, ["gid", "bundle"], "left").select("gid", "bundle", "n", F.coalesce("want", "shard").alias("shard"))
-
-
-def _room(spark, bundles: DataFrame, n_shards: int, most: int) -> DataFrame:
-    """Rows that each shard can still take; one row per shard."""
-    loads = bundles.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("n").alias("load"))
-    shards = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"))
-    return shards.join(F.broadcast(loads), "shard", "left").select("shard", (F.lit(most) - F.coalesce("load", F.lit(0))).cast("long").alias("room"))
+    moved = F.coalesce(F.col("upto") <= F.col("quota"), F.lit(False))
+    out = rows.withColumn("upto", upto).join(F.broadcast(quota), "slot", "left").withColumn("moved", moved)
+    settled = common.scratch(out.select("gid", "bundle", "n", F.when(F.col("moved"), F.col("want")).otherwise(F.col("shard")).alias("shard"), "moved"), "shard-labels")
+    common.drop(rows)
+    return settled
+
+
+def _wanted(bundles: DataFrame, room: list[int]) -> DataFrame:
+    """The shard that each bundle wants: its group's shards in the order of what they hold of it, as far as they have room.
+
+    All of it works on one exchange by group; a group has at most BUNDLES rows.
+    """
+    rows = bundles.select("gid", "bundle", "n", "shard").repartition("gid")
+    has = Window.partitionBy("gid", "shard")
+    liked = Window.partitionBy("gid").orderBy(F.col("has").desc_nulls_last(), F.xxhash64("gid", "shard"), F.col("shard").asc_nulls_last())
+    inside = Window.partitionBy("gid").orderBy("place", "bundle").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("has", F.when(F.col("shard").isNotNull(), F.sum("n").over(has))).withColumn("place", F.dense_rank().over(liked))
+    rows = rows.withColumn("at", F.sum("n").over(inside) - F.col("n"))
+    free = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("to") + 1)
+    cells = rows.where("shard IS NOT NULL").groupBy(F.col("gid").alias("c_gid"), F.col("shard").alias("to")).agg(F.first("place").alias("c_place"), F.first("has").alias("holds"))
+    upto = Window.partitionBy("c_gid").orderBy("c_place").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("hi", F.sum(F.col("holds") + free).over(upto)).withColumn("lo", F.col("hi") - F.col("holds") - free)
+    met = rows.join(cells, (F.col("gid") == F.col("c_gid")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
+    want = F.when(F.col("to").isNotNull() & ~F.col("to").eqNullSafe(F.col("shard")), F.col("to"))
+    return met.select("gid", "bundle", "n", "shard", want.alias("want"), (F.col("holds") - F.coalesce("has", F.lit(0))).alias("gain"))
+
+
+def _room(bundles: DataFrame, n_shards: int, most: int) -> list[int]:
+    """Rows that each shard can still take."""
+    loads = {r.shard: r.load for r in bundles.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("n").alias("load")).collect()}  # one row a shard
+    return [most - loads.get(s, 0) for s in range(n_shards)]
 
 
 def shard_documents(
@@ -114,26 +113,21 @@ def shard_documents(
     most = n_rows // n_shards  # the quota that every shard has, whichever get the rows left over
 
     lanes_n = max(1, -(-linked.count() // (n_shards * BUNDLES_PER_LANE)))
-    start = linked.withColumn("shard", F.lit(None).cast("int"))
-    first = linked.select(
-        "gid", "bundle", "n", F.pmod(_hash("gid", "bundle", F.lit(1)), F.lit(n_shards)).cast("int").alias("want"), F.lit(0).cast("long").alias("gain")
-    )
-    room = _room(spark, start, n_shards, most)
-    bundles = start.join(_admitted(first, room, lanes_n), ["gid", "bundle"], "left").select("gid", "bundle", "n", F.col("want").alias("shard"))
-    bundles = common.scratch(bundles, "shard-labels")
+    first = F.pmod(_hash("gid", "bundle", F.lit(1)), F.lit(n_shards)).cast("int")
+    start = linked.select("gid", "bundle", "n", F.lit(None).cast("int").alias("shard"), first.alias("want"), F.lit(0).cast("long").alias("gain"))
+    bundles = _settled(start, [most] * n_shards, lanes_n)
     for _ in range(rounds):
-        after = common.scratch(_round(bundles, _room(spark, bundles, n_shards, most), lanes_n), "shard-labels")
-        moved = after.join(bundles.withColumnRenamed("shard", "was").drop("n"), ["gid", "bundle"]).where(~F.col("shard").eqNullSafe(F.col("was"))).limit(1).count()
+        room = _room(bundles, n_shards, most)
+        after = _settled(_wanted(bundles, room), room, lanes_n)
         common.drop(bundles)
         bundles = after
-        if not moved:
+        if not bundles.where("moved").limit(1).count():
             break
 
     # Final quotas: the first shards take the rows that are left over.
-    room = _room(spark, bundles, n_shards, most).withColumn("room", F.col("room") + (F.col("shard") < n_rows % n_shards).cast("long"))
-    ends = [int(r.room) for r in room.orderBy("shard").collect()]  # one number a shard
+    room = _room(bundles, n_shards, most)
     total = 0
-    ends = [total := total + r for r in ends]
+    ends = [total := total + r + (s < n_rows % n_shards) for s, r in enumerate(room)]
     lanes = max(LANES, -(-n_rows // (n_shards * ROWS_PER_LANE)))
     lane = F.pmod(_hash("id", F.lit(2)), F.lit(lanes * n_shards)).cast("int")
     placed = heads.join(bundles.select("gid", "bundle", "shard"), ["gid", "bundle"], "left").select("id", "size", "text_crc32", "shard", lane.alias("lane"))
