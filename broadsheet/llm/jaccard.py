@@ -42,7 +42,7 @@ LEAST_BUCKETS = 32
 BLOCK_ROWS = 256
 LEVELS = 3
 #: Rounds of step 4, and pairs of two components that each tries.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 TRIES = 6
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
