@@ -13,7 +13,7 @@ from broadsheet import plugins, schemas
 from broadsheet.functions import text as T
 from broadsheet.operators import annotate, greedy, ingest, selection, stories
 from broadsheet.plans import daily
-from broadsheet.session import ship
+from broadsheet.session import cut, ship
 from broadsheet.sources import sinks
 
 
@@ -251,7 +251,7 @@ FROM e x JOIN e y ON x.e = y.e AND x.ord < y.ord JOIN n na ON na.ord = x.ord JOI
 
 def _scored(spark, d):
     rows = articles(spark, d)
-    pairs = stories.entity_pairs(_entities(spark, d))
+    pairs = cut(stories.entity_pairs(_entities(spark, d)))
     weights = stories.token_weights(rows.select("ord", T.article_text(F.col("title"), F.col("description")).alias("text")))
     return stories.score_pairs(pairs, stories.lexical_scores(pairs, weights))
 
