@@ -19,7 +19,8 @@ Texts become sets of hashed word shingles. Documents with equal sets are one cla
 Nothing is capped: every pair that could join two components is verified.
 
 Defined results: null and empty texts have no shingles and link with nothing; shorter texts are one shingle; rows with
-equal ids count as one document; an empty table gives an empty result.
+equal ids count as one document; rows with null ids count as one document for each text, and the component's id is the smallest
+that is not null (null if all are); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import blobs, common, wordhash
@@ -47,7 +48,13 @@ TRIES = 6
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
-HEADS = "id long, n long, c1 long, c2 long, prefix binary"
+HEADS = "id long, n long, c1 long, c2 long, prefix binary, named boolean"
+
+
+def document_key(id_col: str, text_col: str) -> Column:
+    """The id of a document; in place of a null one a hash of the text from 2^62 to 2^63, so that ids stay 64-bit integers."""
+    made = F.xxhash64(F.col(text_col).cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col(id_col).cast("long"), made)
 
 
 def need(n, least: int):
@@ -74,7 +81,7 @@ def _bucket(tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def document_heads(docs: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
-    """id, size of the set, two hashes of the set, and the prefix in hash order."""
+    """id (document_key), size of the set, two hashes of the set, the prefix in hash order, and whether the row has an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,10 +91,10 @@ def document_heads(docs: DataFrame, id_col: str, text_col: str, words: int, leas
                 c1, c2 = (wordhash.range_hashes(values, bounds[:-1], bounds[1:], wordhash._BASES[k]).view(np.int64) for k in (0, 1))
                 length = np.where(n > 0, np.minimum(n, n - need(n, least) + 1 + n // 16), 0)
                 prefix = values[wordhash.ragged(bounds[:-1], length)]
-                ids = batch.column(0).slice(row, len(n))
-                yield blobs.table({"id": ids, "n": n, "c1": c1, "c2": c2, "prefix": blobs.to_blobs(prefix, np.concatenate([[0], np.cumsum(length)]))}, HEADS)
+                ids, named = (batch.column(c).slice(row, len(n)) for c in (0, 2))
+                yield blobs.table({"id": ids, "n": n, "c1": c1, "c2": c2, "prefix": blobs.to_blobs(prefix, np.concatenate([[0], np.cumsum(length)])), "named": named}, HEADS)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(document_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").isNotNull().alias("named"))
     return rows.mapInArrow(run, HEADS)
 
 
@@ -138,7 +145,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_co
                 values, bounds = shingle_sets(texts, words)
                 yield blobs.table({"id": batch.column(0).slice(row, len(bounds) - 1), "tokens": blobs.to_blobs(values, bounds)}, "id long, tokens binary")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(document_key(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kept = rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
     return kept.mapInArrow(run, "id long, tokens binary")
 
@@ -387,16 +394,29 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """(id, n_shingles, component_id) per input row; least: similarity in hundredths."""
+    found = document_components(docs, id_col, text_col, words, least)
+    return found.select(F.when(F.col("named"), F.col("key")).alias(id_col), "n_shingles", F.when(F.col("has_id"), F.col("root")).alias("component_id"))
+
+
+def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """(key, named, n_shingles, root, has_id) per input row: its document_key, whether it has an id, and the key that names its component, which
+    is the smallest id in it (has_id) or else the smallest key.
+    """
     heads = common.scratch(document_heads(docs, id_col, text_col, words, least), "jaccard-heads")
-    total = heads.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0)).alias("b")).first().b // 8
+    sums = heads.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0)).alias("b"), F.count_if(~F.col("named")).alias("nameless")).first()
+    total = sums.b // 8
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_TOKENS))
     shared = recurring_in_prefix(heads, buckets)
-    small = heads.select("id", "n", "c1", "c2")
+    small = heads.select("id", "n", "c1", "c2", "named")
     enough = F.col("shared") >= 1 + F.floor(F.ceil(F.lit(least) * F.col("n") / 100) / 16)
     survivors = small.join(shared, "id").where(enough)
     reps = common.scratch(survivors.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n")), "jaccard-survivors")
     counts = reps.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    sets = common.scratch(whole_sets(docs, reps.select("id"), counts.k, id_col, text_col, words), "jaccard-sets")
+    once = docs
+    if sums.nameless:
+        has_id = F.col(id_col).cast("long").isNotNull()
+        once = docs.where(has_id).unionByName(docs.where(~has_id).dropDuplicates([text_col]))
+    sets = common.scratch(whole_sets(once, reps.select("id"), counts.k, id_col, text_col, words), "jaccard-sets")
     parts = max(LEAST_BUCKETS, -(-counts.n // BUCKET_TOKENS))
     members = common.scratch(ordered_members(sets, parts, parts, least), "jaccard-members")
     common.drop(sets)
@@ -422,4 +442,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = classes.join(roots, classes.rep == roots.node, "left").where("k > 1 OR root IS NOT NULL")
     named = named.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("root", "rep").alias("root"))
     out = small.join(named, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    out = out.select(F.col("id").alias("key"), "named", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("root"))
+    if not sums.nameless:
+        return out.withColumn("has_id", F.lit(True))
+    out = common.scratch(out, "jaccard-out")
+    # Components are named by their smallest id, if there is one; the keys in place of null ids may be smaller.
+    first = out.where("named").groupBy("root").agg(F.min("key").alias("first_id"))
+    return out.join(first, "root", "left").select("key", "named", "n_shingles", F.coalesce("first_id", "root").alias("root"), F.col("first_id").isNotNull().alias("has_id"))

@@ -37,18 +37,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id; of equal rows one."""
+    """Of each component of similar documents the one with the smallest id (if all are null, one of them); of equal rows one.
+
+    Rows with null id and no words are all kept.
+    """
     common.ship(spark)
-    found = common.scratch(jaccard.similar_documents(docs), "pipeline-components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    found = common.scratch(jaccard.document_components(docs), "pipeline-components")
+    key = jaccard.document_key("doc_id", "text")
+    gone = found.where("key <> root").select(F.col("key").alias("gone_id")).distinct()
     hint = F.broadcast if gone.count() <= jaccard.BROADCAST_IDS else (lambda x: x)
-    left = docs.join(hint(gone), docs.doc_id == F.col("gone_id"), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again_id"))
+    left = docs.join(hint(gone), key == F.col("gone_id"), "left_anti")
+    again = found.where("named OR n_shingles > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("again_id"))
     if not again.limit(1).count():
         return left
     hint = F.broadcast if again.count() <= jaccard.BROADCAST_IDS else (lambda x: x)
-    once = left.join(hint(again), left.doc_id == F.col("again_id"), "left_anti")
-    repeated = left.join(hint(again), left.doc_id == F.col("again_id"), "left_semi")
+    once = left.join(hint(again), key == F.col("again_id"), "left_anti")
+    repeated = left.join(hint(again), key == F.col("again_id"), "left_semi")
     return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 

@@ -190,6 +190,38 @@ def test_jaccard(spark, docs, none, nulls):
     assert len(odd) == 4 and all(r.component_id == 1 for r in odd if r.doc_id == 1)
 
 
+def test_jaccard_null_ids(spark):
+    """Near copies in one batch with null ids, against brute force and through the pipeline's stage."""
+    import corpus_pipeline
+    from broadsheet.llm.jaccard import similar_documents
+
+    r = random.Random(11)
+    draw = lambda n: ["w%d" % r.randrange(10**6) for _ in range(n)]
+    edit = lambda w, k: " ".join(w[:k] + ["edit%d" % r.randrange(10**6)] + w[k + 1 :])
+    a, b, c, d = draw(80), draw(80), draw(80), draw(80)
+    docs = [(7, edit(a, 5)), (9, edit(a, 70)), (None, edit(a, 40)), (None, " ".join(draw(50))), (None, edit(b, 3)), (None, edit(b, 60)), (None, edit(b, 60))]
+    docs += [(2**63 - 1, edit(c, 9)), (None, edit(c, 30)), (20, " ".join(d)), (None, " ".join(d)), (None, " ".join(d)), (None, None), (None, ""), (None, ""), (3, " ".join(draw(60)))]
+    docs += [docs[6]]
+    keys = [i if i is not None else -1 - k for k, (i, _) in enumerate(docs)]
+    plain = brute.jaccard([(k, t) for k, (_, t) in zip(keys, docs, strict=True)])
+    members = defaultdict(list)
+    for k in keys:
+        members[plain[k][1]].append(k)
+    name = {c: min((k for k in v if k >= 0), default=None) for c, v in members.items()}
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    want = Counter((i, plain[k][0], name[plain[k][1]]) for k, (i, _) in zip(keys, docs, strict=True))
+    assert Counter(tuple(x) for x in similar_documents(frame).collect()) == want
+    left = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    texts = dict(zip(keys, (t for _, t in docs), strict=True))
+    kept = Counter((x.doc_id, x.text) for x in left)
+    for v in members.values():
+        real = [k for k in v if k >= 0]
+        stay = [(min(real), texts[min(real)])] if real else [(None, texts[k]) for k in v]
+        assert sum(kept[s] for s in set(stay)) == (1 if any(texts[k] for k in v) else kept[stay[0]])
+    assert sum(kept.values()) == sum(1 for v in members.values())
+    assert kept[(None, None)] == 1 and kept[(None, "")] == 2
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_large_groups(spark, seed):
     """Groups of edited copies around the threshold, over blocks of small size."""
