@@ -108,7 +108,7 @@ def props_json(spark, d):
 
 
 def _keyed(spark, d):
-    return articles(spark, d).select("ord", F.substring(T.title_key(F.col("title"), unescaped=True), 1, 12).alias("k1"), F.md5(F.substring("description", 1, 24)).alias("k2"), "source_id")
+    return articles(spark, d).select("ord", T.title_key(F.col("title"), unescaped=True).alias("k1"), F.md5("description").alias("k2"), "source_id")
 
 
 def greedy_dedup(spark, d):
