@@ -188,8 +188,16 @@ def parse_entities(raw: Column) -> Column:
 
 def first_by(items: Column, key) -> Column:
     """Items of an array whose key has not occurred before, in order. [ORD-07, ORD-08]"""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    # One sort by key and place; arrays are bound to a lambda's variable, as they would be made again for every item.
+    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+
+    def firsts(xs: Column) -> Column:
+        ordered = F.sort_array(F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        new = lambda s: F.filter(s, lambda e, j: e["k"].isNotNull() & ((j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(e["k"])))
+        places = F.sort_array(F.transform(bind(ordered, new), lambda e: e["i"]))
+        return F.transform(places, lambda i: F.get(xs, i))
+
+    return bind(items, firsts)
 
 
 def distinct_tags(tags: Column) -> Column:

@@ -202,7 +202,7 @@ def cache_split(spark, d):
 
 
 def tag_dedup(spark, d):
-    tags = T.distinct_tags(F.slice(F.split(F.substring("text", 1, 400), r"[ \n]+"), 1, 24))
+    tags = T.distinct_tags(F.split("text", r"[ \n]+"))
     return table(spark, d, "documents").select("doc_id", F.array_join(tags, "|").alias("tags"))
 
 

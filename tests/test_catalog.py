@@ -45,3 +45,16 @@ def test_two_key_queries_use_whole_keys(spark, made):
     d = made(rows)
     assert sorted(r.ord for r in catalog.greedy_dedup(spark, d).collect()) == _greedy([(i, t, "") for i, t, _ in rows]) == [1, 2, 6, 7]
     assert sorted(r.ord for r in catalog.source_dedup(spark, d).collect()) == _greedy(rows) == [1, 2, 4, 5, 6, 7]
+
+
+def test_tag_dedup_takes_every_word(spark, made):
+    texts = [" ".join(f"{'Word' if k % 3 else 'wORD'}{k % 700}" for k in range(5000)), "one\n two ONE  Two three", "", " \n ", " ".join(f"x{k}" for k in range(25)) + " X3 last"]
+
+    def plain(text):
+        seen = {}
+        for w in re.split("[ \n]+", text):
+            seen.setdefault(w.lower(), w)
+        return "|".join(w for w in seen.values() if w)
+
+    d = made([(i, t, "a") for i, t in enumerate(texts)])
+    assert {r.doc_id: r.tags for r in catalog.tag_dedup(spark, d).collect()} == {i: plain(t) for i, t in enumerate(texts)}
