@@ -227,8 +227,7 @@ def entity_pairs(spark, d):
 
 
 def any_entity_pairs(spark, d):
-    few = _entities(spark, d).withColumn("entities", F.filter("entities", lambda e: F.length(e.canonical_name) >= 11))
-    rows = stories.entity_pairs(few, require_primary=False)
+    rows = stories.entity_pairs(_entities(spark, d), require_primary=False)
     return rows.select("a", "b", F.array_join("shared_entities", ",").alias("shared_entities"), "entity_score")
 
 

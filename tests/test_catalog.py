@@ -58,3 +58,14 @@ def test_tag_dedup_takes_every_word(spark, made):
 
     d = made([(i, t, "a") for i, t in enumerate(texts)])
     assert {r.doc_id: r.tags for r in catalog.tag_dedup(spark, d).collect()} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_any_entity_pairs_takes_every_entity(spark, made):
+    texts = ["education\nmentioned parliamentary", "Education\nnothing new", "settlement\nlegislature parliamentary", "settlement\nof the education act", "a short one\nno more"]
+    sets = [set(re.findall("[a-z]{9,}", t.lower())) for t in texts]
+    want = set()
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if both := sets[a] & sets[b]:
+                want.add((a, b, ",".join(sorted(both)), len(both) / min(len(sets[a]), len(sets[b]))))
+    assert {tuple(r) for r in catalog.any_entity_pairs(spark, made([(i, t, "a") for i, t in enumerate(texts)])).collect()} == want
