@@ -181,9 +181,10 @@ def valid_items(spark, d):
         )
     )
     raw = docs.select(F.col("source").alias("source_id"), F.col("doc_id").alias("line"), line.alias("value"))
-    items, invalid = ingest.valid_items(raw, max_per_source=15)
+    items, invalid = ingest.valid_items(raw)
     counts = items.groupBy("source_id").agg(F.count("*").alias("valid_count"), F.max("line").alias("last_line"))
-    return counts.join(invalid, "source_id")
+    counts = invalid.join(counts, "source_id", "left")
+    return counts.select("source_id", F.coalesce("valid_count", F.lit(0)).alias("valid_count"), "last_line", "invalid_count")
 
 
 VALID_SQL = """

@@ -69,3 +69,12 @@ def test_any_entity_pairs_takes_every_entity(spark, made):
             if both := sets[a] & sets[b]:
                 want.add((a, b, ",".join(sorted(both)), len(both) / min(len(sets[a]), len(sets[b]))))
     assert {tuple(r) for r in catalog.any_entity_pairs(spark, made([(i, t, "a") for i, t in enumerate(texts)])).collect()} == want
+
+
+def test_valid_items_counts_every_line(spark, made):
+    rows = [(i, "text", "a" if i % 3 else "b") for i in range(1, 120)] + [(7 * 11 * k, "text", "c") for k in range(2, 5)]
+    want = {}
+    for i, _, s in rows:
+        valid, last, invalid = want.get(s, (0, None, 0))
+        want[s] = (valid + 1, max(last or 0, i), invalid) if i % 11 and i % 13 and i % 7 else (valid, last, invalid + 1)
+    assert {r.source_id: (r.valid_count, r.last_line, r.invalid_count) for r in catalog.valid_items(spark, made(rows)).collect()} == want
