@@ -15,6 +15,10 @@ Texts become sets of hashed word shingles. Documents with equal sets are one cla
 5. Grouped prefix join. Documents with identical prefixes and size are one group; group pairs that share a
    prefix shingle are filtered by size, by position, and by lying in different components already; what is left is
    expanded to members and verified on the whole sets. Only pairs whose link would change no component are passed over.
+   A shingle that too many documents still share is not joined: its documents are compared with one typical document
+   (the pivot), and their sets are ordered anew with the shingles that the pivot lacks first. Any order that both
+   sides use finds all similar pairs, so they meet again by prefixes in that order, where a family of edited copies shares
+   little. What is still too frequent gets a new pivot, in ``LEVELS_OF_PIVOTS`` levels; the last level joins whatever is left.
 
 Nothing is capped: every pair that could join two components is verified.
 
@@ -45,6 +49,11 @@ LEVELS = 3
 #: Rounds of step 4, and pairs of two components that each tries.
 STAR_ROUNDS = 2
 TRIES = 6
+#: Documents of a shingle up to which its groups are paired at once, and levels of pivots.
+PAIRED = 16
+LEVELS_OF_PIVOTS = 4
+#: Sets of pivots are broadcast up to so many bytes together; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -150,14 +159,25 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_co
     return kept.mapInArrow(run, "id long, tokens binary")
 
 
-MEMBERS = "id long, n long, gkey long, bkey long, tokens binary, prefix binary, places binary"
+def recurring_prefix(ordered: np.ndarray, n: int, least: int) -> np.ndarray:
+    """The recurring shingles of the prefix of a set of n whose recurring ones are ``ordered``; the others stand before them."""
+    return ordered[: max(0, len(ordered) - need(n, least) + 1)]
+
+
+def group_key(head: np.ndarray, n: int, recurring: int, own: int) -> int:
+    """Equal for sets of equal prefixes and sizes only; a prefix with a shingle that does not recur is equal to no other."""
+    key = np.append(head, np.array([n, own if recurring < n else -1], np.int64).view(np.uint64))
+    return int(wordhash.range_hashes(key, np.array([0]), np.array([len(key)]), wordhash._BASES[0]).view(np.int64)[0])
+
+
+MEMBERS = "id long, n long, gkey long, bkey long, typical double, tokens binary, prefix binary"
 
 
 def ordered_members(sets: DataFrame, chunks: int, buckets: int, least: int) -> DataFrame:
     """MEMBERS: the sets that can have a partner, with the recurring shingles of their prefixes, rarest first.
 
-    gkey: hash of the whole prefix and the size; bkey: the smallest recurring hash; tokens: the recurring shingles in hash order;
-    places: where in the set's order each of the prefix stands.
+    gkey: hash of the whole prefix and the size; bkey: the smallest recurring hash; typical: how frequent its shingles are (mean
+    logarithm); tokens: the recurring shingles in order. Those that do not recur come before them all.
     """
     sent = "bucket int, chunk binary, size binary, tokens binary, df binary"
     answer = "chunk int, tokens binary, df binary"
@@ -213,24 +233,22 @@ def ordered_members(sets: DataFrame, chunks: int, buckets: int, least: int) -> D
         often = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
         count = np.where(often, df[at], 1) if len(known) else np.ones(len(tokens), np.int64)
         out: list[tuple] = []
-        kept, heads, places = [], [], []
+        kept, heads = [], []
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             n, mine, recurs = b - a, tokens[a:b], often[a:b]
-            least_shared = need(n, least)
-            if n == 0 or recurs.sum() < least_shared:
+            if n == 0 or recurs.sum() < need(n, least):
                 continue
-            first = np.lexsort((mine, count[a:b]))[: n - least_shared + 1]
-            prefix = mine[first]
-            key = wordhash.range_hashes(np.append(prefix, np.uint64(n)), np.array([0]), np.array([len(prefix) + 1]), wordhash._BASES[0])[0]
-            shared = np.flatnonzero(recurs[first])
-            out.append((ids[i], n, key.astype(np.int64), mine[recurs].min().astype(np.int64)))
-            kept.append(mine[recurs])
-            heads.append(prefix[shared])
-            places.append((shared + 1).astype(np.int32))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        cat = lambda x, kind: (np.concatenate(x) if x else np.zeros(0, kind), np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64))
-        values = {"id": columns[0], "n": columns[1], "gkey": columns[2], "bkey": columns[3], "tokens": blobs.to_blobs(*cat(kept, np.uint64)), "prefix": blobs.to_blobs(*cat(heads, np.uint64)), "places": blobs.to_blobs(*cat(places, np.int32))}
-        return pa.Table.from_batches([blobs.table({k: np.array(v, np.int64) if isinstance(v, (list, tuple)) else v for k, v in values.items()}, MEMBERS)])
+            by = np.lexsort((mine, count[a:b]))
+            ordered = mine[by[n - recurs.sum() :]]
+            head = recurring_prefix(ordered, n, least)
+            out.append((ids[i], n, group_key(head, n, len(ordered), ids[i]), ordered.min().astype(np.int64), np.log2(count[a:b]).sum() / n))
+            kept.append(ordered)
+            heads.append(head)
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        cat = lambda x: (np.concatenate(x) if x else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64))
+        values = {"id": columns[0], "n": columns[1], "gkey": columns[2], "bkey": columns[3], "tokens": blobs.to_blobs(*cat(kept)), "prefix": blobs.to_blobs(*cat(heads))}
+        values = {k: np.array(v, np.int64) if isinstance(v, (list, tuple)) else v for k, v in values.items()}
+        return pa.Table.from_batches([blobs.table(values | {"typical": np.array(columns[4], np.float64)}, MEMBERS)])
 
     rows = sets.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "tokens")
     answers = rows.select("chunk", "tokens").mapInArrow(emit, sent).groupBy("bucket").applyInArrow(count, answer)
@@ -293,27 +311,36 @@ def leader_links(members: DataFrame, blocks: int, least: int) -> tuple[DataFrame
     return found.where("kind = 0").select("a", "b"), found.where("kind = 1").select(F.col("a").alias("id"), "n", "bkey", "tokens")
 
 
-POSTINGS = "gkey long, n long, component long, id long, token long, place int"
+#: A member in an order: ``key`` is the pivot of the order (0: the order of all), ``at`` the number of its shingles that do not recur.
+ORDERED = "key long, id long, n long, at long, typical double, gkey long, prefix binary"
+POSTINGS = "key long, gkey long, n long, component long, id long, w long, typical double, token long, place long"
+
+
+def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """ORDERED rows with their components so far."""
+    named = rows.join(labels, rows.id == labels.node, "left")
+    return named.select(*[c.split()[0] for c in ORDERED.split(", ")], F.coalesce("component", "id").alias("component"))
 
 
 def named_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members without their sets, with their components so far."""
-    named = members.join(labels, members.id == labels.node, "left").withColumn("component", F.coalesce("component", "id"))
-    return common.scratch(named.select("gkey", "n", "component", "id", "prefix", "places"), "jaccard-named")
+    """The members in the order of all, without their sets, with their components so far."""
+    rows = members.select(F.lit(0).cast("long").alias("key"), "id", "n", (F.col("n") - F.length("tokens") / 8).cast("long").alias("at"), "typical", "gkey", "prefix")
+    return common.scratch(with_components(rows, labels), "jaccard-named")
 
 
 def posted(rows: DataFrame) -> DataFrame:
-    """POSTINGS of the recurring shingles of the prefixes."""
+    """POSTINGS of the recurring shingles of the prefixes; rows: ORDERED, component, w."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, bounds = blobs.from_blobs(batch.column(4), "<u8")
-            places = blobs.from_blobs(batch.column(5), "<i4")[0]
-            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            columns = {c: batch.column(i).to_numpy(zero_copy_only=False)[row] for i, c in enumerate(("gkey", "n", "component", "id"))}
-            yield blobs.table(columns | {"token": tokens.view(np.int64), "place": places}, POSTINGS)
+            tokens, bounds = blobs.from_blobs(batch.column(8), "<u8")
+            size = np.diff(bounds)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            columns = {c: batch.column(i).to_numpy(zero_copy_only=False)[row] for i, c in enumerate(("key", "gkey", "n", "component", "id", "w", "typical"))}
+            place = batch.column(7).to_numpy(zero_copy_only=False)[row] + wordhash.ragged(np.ones(len(size), np.int64), size)
+            yield blobs.table(columns | {"token": tokens.view(np.int64), "place": place}, POSTINGS)
 
-    return rows.mapInArrow(spread, POSTINGS)
+    return rows.select("key", "gkey", "n", "component", "id", "w", "typical", "at", "prefix").mapInArrow(spread, POSTINGS)
 
 
 def star_pairs(named: DataFrame, least: int, seed: int) -> DataFrame:
@@ -322,7 +349,7 @@ def star_pairs(named: DataFrame, least: int, seed: int) -> DataFrame:
     Per shingle, one member stands for each component, and is paired with the one of the component that has the most
     documents there; of the pairs of two components, ``TRIES`` are kept. So the number of pairs is linear in the postings.
     """
-    rows = posted(named.select("gkey", "n", "component", "id", "prefix", "places"))
+    rows = posted(named.withColumn("w", F.lit(1).cast("long")))
     drawn = F.xxhash64("id", "token", F.lit(seed))
     here = rows.groupBy("token", "component").agg(F.count("*").alias("k"), F.min_by(F.struct("id", "n"), drawn).alias("one"))
     here = common.scratch(here, "jaccard-stars")
@@ -335,29 +362,109 @@ def star_pairs(named: DataFrame, least: int, seed: int) -> DataFrame:
     return chosen.select(F.explode("tries").alias("t")).select("t.a", "t.b")
 
 
-def candidate_pairs(named: DataFrame, least: int) -> DataFrame:
-    """Distinct pairs (a, b) of members of different components that the grouped prefix join lets through."""
-    # A group is the documents of one prefix, size and component; one of them stands for it.
-    groups = named.groupBy("gkey", "n", "component").agg(F.min("id").alias("id"))
-    heads = named.join(groups.select("id"), "id", "left_semi").select("gkey", "n", "component", "id", "prefix", "places")
+def meetings(rows: DataFrame, least: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """One level of the grouped prefix join over ``rows`` (ORDERED, component).
+
+    Pairs (a, b) of members of different components that the filters let through, and (id, pivot): the members of shingles
+    that too many share, with the pivots that they are to be ordered by (None: there are no such shingles).
+
+    The larger set looks with its whole prefix; of the smaller only the first ``n - overlap(n, n) + 1`` are held, as the two share
+    ``overlap(n, n)`` shingles at least. So a shingle of ``held`` documents makes ``held`` pairs a posting at most.
+    """
+    group = ["key", "gkey", "n", "component"]
+    heads = rows.groupBy(*group).agg(F.min_by(F.struct("id", "at", "typical", "prefix"), "id").alias("one"), F.count("*").alias("w")).select(*group, "one.*", "w")
     postings = common.scratch(posted(heads), "jaccard-postings")
-    spans = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_postings = common.scratch(postings.join(spans, "token", "left_semi"), "jaccard-open")
-    x, y = (open_postings.select(*[F.col(c).alias(f"{k}_{c}") for c in open_postings.columns]) for k in "xy")
-    overlap = F.ceil(F.lit(least) * (F.col("x_n") + F.col("y_n")) / (100 + least))
+    overlap = lambda n, m: F.ceil(F.lit(least) * (n + m) / (100 + least))
+    n, w = F.col("n"), F.col("w")
+    held = F.col("place") <= n - overlap(n, n) + 1
+    by_component = postings.groupBy("key", "token", "component").agg(
+        F.sum(F.when(held, w).otherwise(0)).alias("held"), F.min(F.when(held, n)).alias("smallest"), F.max(F.struct("typical", "id")).alias("best")
+    )
+    spans = by_component.groupBy("key", "token").agg(
+        (F.sum("held") > PAIRED).alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("smallest").alias("smallest"),
+        F.max_by("component", F.struct("held", "component")).alias("hub"), F.max("best").alias("best"),
+    ).where("lo < hi AND smallest IS NOT NULL").drop("lo", "hi")
+    # Sizes of smaller sets that may be similar and share this shingle as the first one.
+    low = F.ceil(F.lit(least) * n / 100)
+    top = F.least(n, F.floor((n - F.col("place") + 1) * (100 + least) / F.lit(least)) - n)
+    opened = postings.join(spans, ["key", "token"]).withColumns({"held": held, "low": low, "top": top, "in_hub": F.col("component") == F.col("hub")})
+    opened = common.scratch(opened.where(F.col("held") | (F.col("smallest") <= F.col("top"))), "jaccard-open")
+    common.drop(postings)
+
+    # Frequent shingles: how many pairs of different components they would make, by sizes; the largest component (hub) makes none with itself.
+    hot, sized = None, None
+    frequent = opened.where("often")
+    if frequent.limit(1).count():
+        sizes = frequent.where("held").groupBy("key", "token", "n").agg(F.sum("w").alias("every"), F.sum(F.when(F.col("in_hub"), 0).otherwise(w)).alias("others"))
+        sizes = sizes.groupBy("key", "token").agg(F.collect_list(F.struct("n", "every", "others")).alias("sizes"))
+        others = F.col("in_hub")
+        met_by = F.filter("sizes", lambda s: (s.n >= F.col("low")) & (s.n <= F.col("top")) & (~others | (s.others > 0)))
+        made = F.aggregate(met_by, F.lit(0).cast("long"), lambda x, s: x + F.when(others, s.others).otherwise(s.every))
+        sized = common.scratch(frequent.join(sizes, ["key", "token"]).withColumns({"y_sizes": F.transform(met_by, lambda s: s.n), "made": made}).drop("sizes"), "jaccard-sized")
+        busy = sized.groupBy("key", "token").agg(F.sum(F.col("made") * w).alias("pairs"), F.sum(w).alias("k"), F.first("best").alias("best"))
+        hot = common.scratch(busy.where(F.col("pairs") > (F.lit(1 << 62) if last else PAIRED * F.col("k"))).select("key", "token", "best"), "jaccard-hot")
+    columns = ["gkey", "n", "component", "place"]
+    asking = lambda t, *more: t.select("key", "token", *[F.col(c).alias(f"x_{c}") for c in columns], *more)
+    holding = lambda t: t.where("held").select(F.col("key").alias("y_key"), F.col("token").alias("y_token"), *[F.col(c).alias(f"y_{c}") for c in columns])
     left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) + 1
-    met = x.join(
-        y,
-        (F.col("x_token") == F.col("y_token"))
-        & (F.col("x_component") < F.col("y_component"))
-        & (100 * F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n"))
-        & (left >= overlap),
+    fit = (
+        (F.col("x_component") != F.col("y_component"))
+        & ((F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_component") < F.col("y_component"))))
+        & (100 * F.col("y_n") >= least * F.col("x_n"))
+        & (left >= overlap(F.col("x_n"), F.col("y_n")))
     )
-    group_pairs = met.select("x_gkey", "x_n", "x_component", "y_gkey", "y_n", "y_component").distinct()
-    all_members = named.select("gkey", "n", "component", "id")
-    first, second = (all_members.select(*[F.col(c).alias(f"{k}_{c}") for c in all_members.columns]) for k in "xy")
-    expanded = group_pairs.join(first, ["x_gkey", "x_n", "x_component"]).join(second, ["y_gkey", "y_n", "y_component"])
-    return expanded.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    same = (F.col("key") == F.col("y_key")) & (F.col("token") == F.col("y_token"))
+    rare = opened.where("NOT often")
+    met = asking(rare).join(holding(rare), same & fit)
+    if hot is not None:
+        cold = sized.join(hot.select("key", "token"), ["key", "token"], "left_anti")
+        for ask, hold in ((F.lit(True), ~F.col("in_hub")), (~F.col("in_hub"), F.col("in_hub"))):
+            looking = asking(cold.where(ask), F.explode("y_sizes").alias("of_size"))
+            met = met.unionByName(looking.join(holding(cold.where(hold)), same & (F.col("of_size") == F.col("y_n")) & fit).drop("of_size"))
+    group_pairs = met.select("key", *[f"{k}_{c}" for k in "xy" for c in columns[:3]]).distinct()
+    members = rows.select("key", "gkey", "n", "component", "id")
+    first, second = (members.select("key", *[F.col(c).alias(f"{k}_{c}") for c in (*columns[:3], "id")]) for k in "xy")
+    expanded = group_pairs.join(first, ["key", "x_gkey", "x_n", "x_component"]).join(second, ["key", "y_gkey", "y_n", "y_component"])
+    pairs = common.scratch(expanded.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "jaccard-pairs")
+    if hot is None or not hot.limit(1).count():
+        return pairs, None
+
+    # Shingles of one family should have one pivot: a pivot gives way to the best pivot of its own shingles, twice.
+    carried = opened.select(*group, "id", "token").join(hot, ["key", "token"])
+    better = common.scratch(carried.groupBy("key", "id").agg(F.max("best").alias("better")), "jaccard-better")
+    jump = lambda t: t.join(better, (t.key == better.key) & (t.best.id == better.id), "left").select(t.key, "token", F.coalesce("better", "best").alias("best"))
+    pivots = jump(jump(hot)).select("key", "token", F.col("best.id").alias("pivot"))
+    asked = opened.select(*group, "token").join(pivots, ["key", "token"]).select(*group, "pivot").distinct()
+    asks = asked.join(members, group).where("id <> pivot").select("id", "pivot").distinct()
+    return pairs, common.scratch(asks, "jaccard-asks")
+
+
+def ordered_by_pivots(asks: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """ORDERED rows of the members in asks (id, pivot): what the pivot lacks comes first; and whether they are linked with it."""
+    schema = ORDERED + ", linked boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivot, ids, n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            (p, pb), (x, xb) = (blobs.from_blobs(batch.column(c), "<u8") for c in (5, 6))
+            keys, linked, heads = [], [], []
+            for i in range(batch.num_rows):
+                mine = x[xb[i] : xb[i + 1]]
+                inside = np.isin(mine, p[pb[i] : pb[i + 1]])
+                head = recurring_prefix(np.concatenate([mine[~inside], mine[inside]]), int(n[i]), least)
+                heads.append(head)
+                linked.append(similar(int(inside.sum()), int(n[i]), int(m[i]), least))
+                keys.append(group_key(head, int(n[i]), len(mine), int(ids[i])))
+            bounds = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int64)
+            prefix = blobs.to_blobs(np.concatenate(heads) if heads else np.zeros(0, np.uint64), bounds)
+            yield blobs.table({"key": pivot, "id": ids, "n": n, "at": n - np.diff(xb), "typical": batch.column(4), "gkey": np.array(keys, np.int64), "prefix": prefix, "linked": np.array(linked, bool)}, schema)
+
+    chosen = asks.select("pivot").distinct()
+    sets = members.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("tokens").alias("p_tokens")).join(chosen, "pivot", "left_semi")
+    sets = common.scratch(sets, "jaccard-pivots")
+    size = sets.agg(F.coalesce(F.sum(F.length("p_tokens") + 64), F.lit(0)).alias("b")).first().b
+    rows = asks.join(members.select("id", "n", "typical", "tokens"), "id").join(F.broadcast(sets) if size <= BROADCAST_BYTES else sets, "pivot")
+    return rows.select("pivot", "id", "n", "m", "typical", "p_tokens", "tokens").mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
@@ -376,6 +483,13 @@ def verified(pairs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "at", "bt").mapInArrow(run, "a long, b long")
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    named = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    return named.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b").distinct()
+
+
 def component_links(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Links (a, b) as links between the components of their ends."""
     name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
@@ -436,7 +550,18 @@ def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         common.drop(named)
     else:
         named = named_members(members, labels)
-    pairs = common.scratch(candidate_pairs(named, least), "jaccard-pairs")
+    pairs = None
+    for level in range(LEVELS_OF_PIVOTS):
+        met, asks = meetings(named, least, level == LEVELS_OF_PIVOTS - 1)
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if asks is None:
+            break
+        ordered = common.scratch(ordered_by_pivots(asks, members, least), "jaccard-ordered")
+        new = common.scratch(component_links(ordered.where("linked").select(F.col("id").alias("a"), F.col("key").alias("b")), labels), "jaccard-new")
+        labels = common.scratch(merged_labels(labels, new), "jaccard-components")
+        common.drop(named)
+        named = common.scratch(with_components(ordered, labels), "jaccard-named")
+    pairs = apart(pairs, labels)
     roots = merged_labels(labels, component_links(verified(pairs, members, least), labels)).withColumnRenamed("component", "root")
     classes = small.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("k"))
     named = classes.join(roots, classes.rep == roots.node, "left").where("k > 1 OR root IS NOT NULL")
