@@ -135,14 +135,21 @@ def order_time(value: Column) -> Column:
     return F.coalesce(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(value)), F.lit("0001-01-01 00:00:00").cast("timestamp"))
 
 
+def casefold(x: Column) -> Column:
+    """Full case folding: capitals first, so that ß and ligatures become letters, then small ones; ı stays, ς is σ."""
+    capitals = F.upper(F.translate(x, "ı", "\ue000"))
+    # The replacement between also keeps the optimiser from leaving the capitals out.
+    return F.translate(F.lower(F.replace(capitals, F.lit("ẞ"), F.lit("SS"))), "ς\ue000", "σı")
+
+
 def entity_set(entities: Column, primary: bool = False, distinctive: bool = False) -> Column:
-    """Distinct lower-case canonical names, of primary role or distinctive type if asked. [FN-11]"""
+    """Distinct case-folded canonical names, of primary role or distinctive type if asked. [FN-11]"""
     chosen = entities
     if primary:
         chosen = F.filter(chosen, lambda e: e.role == "primary")
     if distinctive:
         chosen = F.filter(chosen, lambda e: e["type"].isin(*schemas.DISTINCTIVE_TYPES))
-    return F.array_sort(F.array_distinct(F.transform(chosen, lambda e: F.lower(e.canonical_name))))
+    return F.array_sort(F.array_distinct(F.transform(chosen, lambda e: casefold(e.canonical_name))))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -171,19 +178,30 @@ def story_fingerprint(*fields: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
 
 
+def entities_error(raw: Column) -> Column:
+    """What is wrong with a model's answer: it must be a JSON object with a list ``entities``; null if nothing is. [FN-17, UDF-05]"""
+    v = F.try_parse_json(raw)
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")), F.lit(False))
+    listed = F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(v, "$.entities", "variant")), F.lit("ARRAY<")), F.lit(False))
+    return F.when(raw.isNull() | v.isNull(), "the answer is no JSON").when(~(is_object & listed), "the answer has no list of entities")
+
+
 def parse_entities(raw: Column) -> Column:
-    """Entities of a model's JSON answer: type defaults to OTHER, unknown roles are secondary, nameless ones go. [FN-17, ORD-08]"""
-    got = F.from_json(raw, f"entities ARRAY<{schemas.ENTITY}>").entities
+    """Entities of a model's JSON answer: type defaults to OTHER, unknown roles are secondary, those without a text go, as does
+    what is no object. [FN-17, ORD-08]"""
+    got = F.try_variant_get(F.try_parse_json(raw), "$.entities", "array<variant>")
+    objects = F.filter(F.coalesce(got, F.array().cast("array<variant>")), lambda e: F.startswith(F.schema_of_variant(e), F.lit("OBJECT<")))
+    field = lambda e, name: squeeze(F.try_variant_get(e, f"$.{name}", "string"))
     filled = F.transform(
-        F.coalesce(got, F.array().cast(f"ARRAY<{schemas.ENTITY}>")),
+        objects,
         lambda e: F.struct(
-            squeeze(F.coalesce(F.nullif(squeeze(e.text), F.lit("")), e.canonical_name)).alias("text"),
-            squeeze(F.coalesce(F.nullif(squeeze(e.canonical_name), F.lit("")), e.text)).alias("canonical_name"),
-            F.coalesce(F.nullif(F.upper(squeeze(e["type"])), F.lit("")), F.lit("OTHER")).alias("type"),
-            F.when(F.lower(squeeze(e.role)) == "primary", "primary").otherwise("secondary").alias("role"),
+            field(e, "text").alias("text"),
+            F.coalesce(F.nullif(field(e, "canonical_name"), F.lit("")), field(e, "text")).alias("canonical_name"),
+            F.coalesce(F.nullif(F.upper(field(e, "type")), F.lit("")), F.lit("OTHER")).alias("type"),
+            F.when(F.lower(field(e, "role")) == "primary", "primary").otherwise("secondary").alias("role"),
         ),
     )
-    return first_by(F.filter(filled, lambda e: e.canonical_name != ""), lambda e: F.concat(F.lower(e.canonical_name), F.lit("\x00"), e["type"]))
+    return first_by(F.filter(filled, lambda e: e.text != ""), lambda e: F.concat(casefold(e.canonical_name), F.lit("\x00"), e["type"]))
 
 
 def first_by(items: Column, key) -> Column:
@@ -203,7 +221,7 @@ def first_by(items: Column, key) -> Column:
 def distinct_tags(tags: Column) -> Column:
     """Squeezed tags, the first of each in either case, blank ones out. [ORD-07]"""
     clean = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), squeeze), lambda t: t != "")
-    return first_by(clean, F.lower)
+    return first_by(clean, casefold)
 
 
 def parse_rewrite(raw: Column) -> Column:
@@ -213,11 +231,13 @@ def parse_rewrite(raw: Column) -> Column:
     return F.when((squeeze(got.headline) != "") & (squeeze(got.summary) != "") & squeeze(got.section).isin(*schemas.SECTIONS), clean)
 
 
-def fallback_rewrite(title: Column, description: Column) -> Column:
-    """Title and description of the representative in section Other. [FN-19]"""
+def fallback_rewrite(title: Column, description: Column, article: Column | None = None) -> Column:
+    """Title and description of a story in section Other; what it lacks comes from its representative article (title, description). [FN-19]"""
+    article = F.lit(None).cast("struct<title: string, description: string>") if article is None else article
+    some = lambda *values: F.coalesce(*[F.nullif(squeeze(v), F.lit("")) for v in values[:-1]], F.lit(values[-1]))
     return F.struct(
-        F.coalesce(F.nullif(squeeze(title), F.lit("")), F.lit("Untitled story")).alias("headline"),
-        F.coalesce(F.nullif(squeeze(description), F.lit("")), F.nullif(squeeze(title), F.lit("")), F.lit("No summary available.")).alias("summary"),
+        some(title, article.title, "Untitled story").alias("headline"),
+        some(description, article.description, "No description available.").alias("summary"),
         F.lit("Other").alias("section"),
     )
 
@@ -287,12 +307,14 @@ def article_text(title: Column, description: Column) -> Column:
     return F.concat(F.lit("Title: "), title, F.lit("\nDescription: "), description)
 
 
-def story_prompt(articles: Column) -> Column:
-    """Numbered records, titles cut to 240 characters and descriptions to 500. [PRJ-08]"""
-    lines = F.transform(
+def story_prompt(story_id: Column, articles: Column) -> Column:
+    """The story's id and numbered records, titles cut to 240 characters and descriptions to 500. [PRJ-08]"""
+    cut = lambda x, n: F.substring(F.coalesce(x, F.lit("")), 1, n)
+    records = F.transform(
         articles,
         lambda a, i: F.concat(
-            (i + 1).cast("string"), F.lit(". "), F.substring(squeeze(a.title), 1, 240), F.lit("\n"), F.substring(squeeze(a.description), 1, 500)
+            (i + 1).cast("string"), F.lit(". Publisher: "), F.coalesce(a.source_name, a.source_id, F.lit("")),
+            F.lit("\nTitle: "), cut(a.title, 240), F.lit("\nDescription: "), cut(squeeze(a.description), 500),
         ),
-    )
-    return F.array_join(lines, "\n")
+    )
+    return F.concat_ws("\n\n", F.concat(F.lit("Story ID: "), F.coalesce(story_id, F.lit(""))), F.lit("Contributing RSS records:"), records)
