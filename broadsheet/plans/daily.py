@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import plugins
+from broadsheet.functions import text as T
 from broadsheet.operators import ingest, selection, stories
 from broadsheet.session import cut
 from broadsheet.sources import readers
@@ -54,16 +55,22 @@ def ingest_payloads(payloads: DataFrame, feeds: DataFrame, ingested_at: str) ->
     return items, results
 
 
-def stories_of(items: DataFrame, settings: Settings = Settings(), extractor: Callable | None = None) -> dict[str, DataFrame]:
-    """Items (with a unique ``ord``) to extractions, pairs and stories."""
+def stories_of(
+    items: DataFrame, settings: Settings = Settings(), extractor: Callable | None = None, encoder: Callable | None = None, scorer: Callable | None = None
+) -> dict[str, DataFrame]:
+    """Items (with a unique ``ord``) to extractions, pairs and stories.
+
+    Plug-ins, each made in the task: extractor (UDF-01); encoder: weights of a text (plugins.PairEncoder), or scorer: scores of
+    pairs of texts (plugins.PairScorer), in place of the offline weights (UDF-02).
+    """
     kept = cut(ingest.deduplicate_items(items))
     found = cut(plugins.extractions(kept, extractor))
     ordered = kept.select("article_id", "ord", "source_id")
     pairs = cut(stories.entity_pairs(found.join(ordered, "article_id"), require_primary=settings.require_primary))
-    texts = kept.select("ord", F.concat(F.lit("Title: "), "title", F.lit("\nDescription: "), "description").alias("text"))
     needed = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
-    weights = stories.token_weights(texts.join(needed, "ord", "left_semi"))
-    scored = stories.score_pairs(pairs, stories.lexical_scores(pairs, weights), settings.entity_weight, settings.lexical_weight, settings.merge_threshold)
+    texts = kept.join(needed, "ord", "left_semi").select("ord", T.article_text(F.col("title"), F.col("description")).alias("text"))
+    lexical = stories.plugged_scores(pairs, texts, scorer) if scorer else stories.lexical_scores(pairs, cut(stories.article_vectors(texts, make=encoder)))
+    scored = stories.score_pairs(pairs, lexical, settings.entity_weight, settings.lexical_weight, settings.merge_threshold)
     left = ordered.select(F.col("ord").alias("a"), F.col("article_id").alias("article_id_a"), F.col("source_id").alias("source_id_a"))
     right = ordered.select(F.col("ord").alias("b"), F.col("article_id").alias("article_id_b"), F.col("source_id").alias("source_id_b"))
     scored = cut(scored.join(left, "a").join(right, "b").drop("a", "b"))
