@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import schemas
 from broadsheet.functions import text as T
+from broadsheet.session import cut
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -127,9 +128,14 @@ def facets(articles: DataFrame, *columns: str) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, order: list[Column], id_col: str = "article_id") -> DataFrame:
-    """Previous and next id in a list. [ORD-09]"""
-    w = Window.orderBy(*order)
-    return rows.select(id_col, F.lag(id_col).over(w).alias("previous_id"), F.lead(id_col).over(w).alias("next_id"))
+    """Previous and next id in a list. [ORD-09]
+
+    Ranges of the order are looked at apart; their first and last ids are joined to the neighbouring ranges.
+    """
+    placed = cut(numbered(rows, order, "_place").select(id_col, "_place"))
+    at = lambda step, name: placed.select((F.col("_place") + step).alias("_place"), F.col(id_col).alias(name))
+    joined = placed.join(at(1, "previous_id"), "_place", "left").join(at(-1, "next_id"), "_place", "left")
+    return joined.select(id_col, "previous_id", "next_id")
 
 
 def display_tags(tags_json: Column, n: int = 4) -> Column:
@@ -150,6 +156,16 @@ def check_batch(batch: DataFrame, articles: DataFrame) -> list[str]:
     return wrong
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place (from 1) in an order. Ranges of the order are numbered apart; only their sizes meet in one place."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_k"))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)  # a row a partition
+    before = sizes.select("_range", (F.sum("_k").over(upto) - F.col("_k")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, inside).join(before, "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
 def upsert_pairs(saved: DataFrame, batch: DataFrame, now: str, ord_col: str = "ord") -> DataFrame:
     """Saved annotations after a batch: keyed by (run, a, b, annotator), the last of the batch wins, id and created_at stay. [MUT-01, SET-04]
 
@@ -161,10 +177,11 @@ def upsert_pairs(saved: DataFrame, batch: DataFrame, now: str, ord_col: str = "o
     last = rows.groupBy(*key).agg(
         F.max_by(F.struct("reference_article_id", "label", "notes"), ord_col).alias("new"), F.min(ord_col).alias("first_ord")
     )
-    top = saved.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    joined = saved.join(last, key, "full_outer").crossJoin(F.broadcast(top))  # one row
-    fresh = F.col("id").isNull()
-    number = F.when(fresh, F.col("top") + F.row_number().over(Window.partitionBy(fresh).orderBy("first_ord", *key)))
+    top = saved.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
+    joined = cut(saved.join(last, key, "full_outer"))
+    fresh = numbered(joined.where("id IS NULL"), [F.col("first_ord"), *map(F.col, key)], "number")
+    number = F.lit(top) + F.col("number")
+    joined = joined.where("id IS NOT NULL").withColumn("number", F.lit(None).cast("long")).unionByName(fresh)
     changed = F.col("new").isNotNull()
     return joined.select(
         F.coalesce("id", number).cast("long").alias("id"), "run_id", "article_id_a", "article_id_b",

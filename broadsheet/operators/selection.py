@@ -109,7 +109,7 @@ def select_stories(candidates: DataFrame, target_items: int = 10, max_items_per_
         return pd.DataFrame({"_e": pdf["_edition"].iloc[0], "_id": ids, "position": range(1, len(ids) + 1)})
 
     picks = ranked.groupBy("_edition").applyInPandas(fold, "_e string, _id string, position long")
-    joined = rows.join(F.broadcast(picks), (F.col("_edition") == F.col("_e")) & (F.col("story_id") == F.col("_id")))  # at most target_items an edition
+    joined = rows.join(picks, (F.col("_edition") == F.col("_e")) & (F.col("story_id") == F.col("_id")))
     return joined.drop("_edition", "_source", "_section", "_e", "_id")
 
 
@@ -141,9 +141,10 @@ def by_section(selected: DataFrame) -> DataFrame:
     return selected.join(F.broadcast(rank), "section").orderBy("section_rank", "position")
 
 
-def source_list(stories: DataFrame, ord_col: str = "position") -> DataFrame:
+def source_list(stories: DataFrame, ord_col: str = "position", with_url: bool = False) -> DataFrame:
     """Publishers of an edition: first of each label in either case, in order, unlabelled ones skipped. [AGG-19]"""
     label = F.trim(F.coalesce(F.nullif(F.trim("source_name"), F.lit("")), "source_id", F.lit("")))
-    rows = stories.select(label.alias("label"), F.col(ord_col).alias("ord")).where("label <> ''")
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("label")).orderBy("ord"))).where("n = 1")
-    return first.select("label", "ord")
+    more = [F.trim(F.coalesce("url", F.lit(""))).alias("url")] if with_url else []
+    rows = stories.select(label.alias("label"), F.col(ord_col).alias("ord"), *more).where("label <> ''")
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(T.casefold(F.col("label"))).orderBy("ord"))).where("n = 1")
+    return first.drop("n")
