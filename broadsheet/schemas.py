@@ -3,39 +3,17 @@
 from __future__ import annotations
 
 FEED = "rank INT, source_id STRING, name STRING, url STRING, scope STRING, category STRING, item_limit INT"
-ENTRY = "feed STRING, ord INT, url STRING, title STRING, description STRING, published_at STRING, tags ARRAY<STRING>"
 ITEM = (
     "article_id STRING, source_id STRING, source_name STRING, scope STRING, category STRING, title STRING, description STRING, "
     "published_at STRING, url STRING, tags ARRAY<STRING>, ingested_at STRING"
 )
 ENTITY = "STRUCT<text: STRING, canonical_name: STRING, type: STRING, role: STRING>"
-EXTRACTION = f"article_id STRING, input_fingerprint STRING, model STRING, status STRING, entities ARRAY<{ENTITY}>, error STRING"
-PAIR_SCORE = (
-    "article_id_a STRING, article_id_b STRING, source_id_a STRING, source_id_b STRING, shared_entities ARRAY<STRING>, "
-    "entity_score DOUBLE, lexical_score DOUBLE, final_score DOUBLE, accepted BOOLEAN, rejection_reason STRING"
-)
 STORY_ARTICLE = "STRUCT<article_id: STRING, source_id: STRING, source_name: STRING, title: STRING, description: STRING, published_at: STRING, url: STRING>"
 STORY = (
     "story_id STRING, representative_article_id STRING, representative_title STRING, representative_description STRING, "
     f"latest_published_at STRING, source_count BIGINT, article_count BIGINT, confidence DOUBLE, articles ARRAY<{STORY_ARTICLE}>"
 )
 REWRITE = "story_id STRING, headline STRING, summary STRING, section STRING, status STRING, model STRING, input_fingerprint STRING, error STRING"
-CANDIDATE = (
-    "story_id STRING, section STRING, headline STRING, summary STRING, rewrite_status STRING, rewrite_error STRING, source_id STRING, "
-    "source_name STRING, published_at STRING, url STRING, "
-    "articles ARRAY<STRUCT<source_name: STRING, title: STRING, published_at: STRING, url: STRING>>, "
-    "article_count BIGINT, source_count BIGINT, confidence DOUBLE"
-)
-ANNOTATION_RUN = "id BIGINT, manifest_id STRING, manifest_path STRING, tool_version STRING, schema_version STRING, created_at STRING"
-ANNOTATION_ARTICLE = (
-    "article_id STRING, run_id BIGINT, source_id STRING, source_name STRING, scope STRING, category STRING, title STRING, "
-    "description STRING, published_at STRING, url STRING, tags_json STRING, ingested_at STRING, raw_json STRING"
-)
-PAIR_ANNOTATION = (
-    "id BIGINT, run_id BIGINT, article_id_a STRING, article_id_b STRING, reference_article_id STRING, label STRING, notes STRING, "
-    "annotator_id STRING, created_at STRING, updated_at STRING"
-)
-REGISTRATION = "email STRING, name STRING, created_at STRING"
 MANIFEST = (
     "captured_at_utc STRING, category STRING, user_agent STRING, feeds ARRAY<STRUCT<id: STRING, name: STRING, url: STRING, feed_path: STRING, "
     "headers_path: STRING, http_status: INT, content_type: STRING, bytes: BIGINT, item_count: BIGINT>>, "

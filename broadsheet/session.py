@@ -10,7 +10,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_root: list[str] = []
 _folders: dict[str, list[str]] = {}
 
 
@@ -23,13 +22,9 @@ def session(app: str = "broadsheet", **conf: str) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; our own if that is unset."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a folder of the warehouse, which it shares too, if that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not _own_root:
-        _own_root.append("file://" + tempfile.mkdtemp(prefix="broadsheet-"))
-    return _own_root[0]
+    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

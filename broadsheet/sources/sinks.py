@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import json
+import urllib.error
+import urllib.request
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +14,8 @@ from pyspark.sql import functions as F
 
 from broadsheet import schemas
 from broadsheet.functions import text as T
-from broadsheet.operators.selection import by_section
+from broadsheet.operators.selection import by_section, source_list
+from broadsheet.session import cut
 
 #: The columns of an annotation export.
 EXPORT_COLUMNS = (
@@ -29,8 +35,8 @@ def write_payloads(payloads: DataFrame, path: str) -> None:
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """A frame of one row as JSON. [SNK-02]"""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A frame of one row as indented JSON; characters beyond ASCII stay as they are. [SNK-02]"""
+    df.coalesce(1).select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_json_lines(df: DataFrame, path: str, *partitions: str) -> None:
@@ -45,14 +51,22 @@ def write_run(path: str, **artifacts: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
-def export_annotations(annotations: DataFrame, articles: DataFrame, path: str) -> DataFrame:
-    """Ordered JSON lines and CSV; returns the number per label. [SNK-06, SRT-07, AGG-07]"""
+def export_annotations(annotations: DataFrame, articles: DataFrame, path: str, run: DataFrame | None = None) -> DataFrame:
+    """Ordered JSON lines, CSV and a summary, which is returned too (one row). run: one row of annotation runs. [SNK-06, SRT-07, AGG-07]"""
     from broadsheet.operators.annotate import label_counts, saved_annotations
 
+    path = path.rstrip("/")
     rows = saved_annotations(annotations, articles).select(*EXPORT_COLUMNS).orderBy("article_id_a", "article_id_b", "annotator_id")
     rows.write.mode("overwrite").json(f"{path}/jsonl")
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    return label_counts(annotations)
+    counts = label_counts(annotations).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_counts"))
+    summary = articles.agg(F.count("*").alias("article_count")).crossJoin(rows.agg(F.count("*").alias("pair_count"))).crossJoin(counts)  # one row each
+    summary = summary.withColumns({"exported_at": T.utc_now(), "files": F.array(F.lit("jsonl"), F.lit("csv"))})
+    known = ("manifest_id", "manifest_path", "tool_version", "schema_version")
+    summary = run.select(*known).limit(1).crossJoin(summary) if run is not None else summary
+    summary = cut(summary)
+    write_document(summary, f"{path}/summary")
+    return summary
 
 
 def edition_lines(selected: DataFrame) -> DataFrame:
@@ -75,18 +89,40 @@ def edition_text(selected: DataFrame, title: str, date: str, farewell: str) -> D
     return parts.agg(F.concat_ws("\n", F.lit(title.upper()), shown, F.lit(""), body, F.lit(farewell), F.lit("")).alias("text"))
 
 
-def edition_html(selected: DataFrame, title: str, date: str) -> DataFrame:
-    """One row: a plain HTML page of an edition; every text is escaped. [SNK-07, FN-24]"""
+def edition_html(selected: DataFrame, title: str, date: str, logo: str | None = None, unsubscribe: str = "Reply to this email to unsubscribe.") -> DataFrame:
+    """One row: a plain HTML page of an edition; every text is escaped. [SNK-07, FN-24, AGG-15, AGG-19]
+
+    It has the numbers of stories and publishers, each section's number of stories, each story's number of reports, the list of sources, and
+    the logo, if there is one (an address or data URI).
+    """
+    for name, kind in (("source_id", "string"), ("article_count", "long"), ("url", "string")):
+        selected = selected if name in selected.columns else selected.withColumn(name, F.lit(None).cast(kind))
     e = lambda c: T.html_escape(F.coalesce(F.col(c), F.lit("")))
+    some = lambda n, one, many: F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many}"))
+    reports = F.greatest(F.coalesce(F.col("article_count"), F.lit(1)), F.lit(1))
+    rows = edition_lines(selected).join(selected.select("position", reports.alias("reports")), "position")
     block = F.concat(
-        F.lit("<article><h3><a href=\""), e("url"), F.lit("\">"), e("headline"), F.lit("</a></h3><p>"), e("summary"), F.lit("</p><p>"), e("byline"), F.lit("</p></article>")
-    )
-    head = F.concat(F.lit("<section><h2>"), T.html_escape(F.first("section")), F.lit("</h2>\n"))
-    parts = edition_lines(selected).groupBy("section_rank").agg(F.concat(_joined(selected, block, head, "\n"), F.lit("\n</section>")).alias("part"))
+        F.lit("<article><h3><a href=\""), e("url"), F.lit("\">"), e("headline"), F.lit("</a></h3><p>"), e("summary"), F.lit("</p><p>"), e("byline"), F.lit(" · "),
+        some(F.col("reports"), "report", "reports"), F.lit("</p></article>"),
+    )
+    head = F.concat(F.lit("<section><h2>"), T.html_escape(F.first("section")), F.lit("</h2><p>"), some(F.count("*"), "story", "stories"), F.lit("</p>\n"))
+    parts = rows.groupBy("section_rank").agg(F.concat(_joined(selected, block, head, "\n"), F.lit("\n</section>")).alias("part"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_rank", "part"))), lambda x: x.part), "\n")
-    body = F.coalesce(F.nullif(body, F.lit("")), F.lit("<p>No stories were selected for this edition.</p>"))
-    shown = T.html_escape(T.edition_date_text(F.lit(date)))
-    return parts.agg(F.concat(F.lit(f"<!doctype html><title>{title}</title><h1>{title}</h1><p>"), shown, F.lit("</p>\n"), body, F.lit("\n")).alias("html"))
+    page = parts.agg(F.coalesce(F.nullif(body, F.lit("")), F.lit("<p>No stories were selected for this edition.</p>")).alias("body"))
+    publishers = F.count_distinct(F.nullif("source_id", F.lit("")))
+    meta = F.when(F.count("*") > 0, F.concat(some(F.count("*"), "story", "stories"), F.lit(" · "), some(publishers, "publisher", "publishers")))
+    counts = selected.agg(F.coalesce(meta, F.lit("A focused daily edition")).alias("meta"))
+    named = F.when(F.col("url") != "", F.concat(F.lit("<a href=\""), e("url"), F.lit("\">"), e("label"), F.lit("</a>"))).otherwise(e("label"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("<li>"), named, F.lit("</li>")).alias("li")))), lambda x: x.li)
+    sources = source_list(selected, with_url=True).agg(F.when(F.count("*") > 0, F.concat(F.lit("<h2>Sources in this edition</h2><ul>"), F.array_join(listed, ""), F.lit("</ul>\n"))).otherwise("").alias("sources"))
+    mark = F.concat(F.lit("<img alt=\"\" src=\""), T.html_escape(F.lit(logo)), F.lit("\">")) if logo else F.lit("")
+    shown, name = T.html_escape(T.edition_date_text(F.lit(date))), T.html_escape(F.lit(title))
+    return page.crossJoin(counts).crossJoin(sources).select(  # one row each
+        F.concat(
+            F.lit("<!doctype html><title>"), name, F.lit("</title>"), mark, F.lit("<h1>"), name, F.lit("</h1><p>"), shown, F.lit("</p><p>"), F.col("meta"), F.lit("</p>\n"),
+            F.col("body"), F.lit("\n"), F.col("sources"), F.lit("<p>"), T.html_escape(F.lit(unsubscribe)), F.lit("</p>\n"),
+        ).alias("html")
+    )
 
 
 class MailSender(Protocol):
@@ -95,6 +131,45 @@ class MailSender(Protocol):
     def send(self, edition: dict, html: str, text: str) -> int: ...
 
 
+def post_json(url: str, user: str, password: str, data: dict, timeout: float = 30) -> tuple[int, str]:
+    """Status and text of the answer to JSON that is posted with basic authentication."""
+    token = base64.b64encode(f"{user}:{password}".encode()).decode()
+    request = urllib.request.Request(url, json.dumps(data).encode(), {"Content-Type": "application/json", "Authorization": f"Basic {token}"})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as got:
+            return got.status, got.read().decode(errors="replace")
+    except urllib.error.HTTPError as e:
+        return e.code, e.read().decode(errors="replace")
+
+
+class HttpMailSender:
+    """Posts an edition to a mail service, one message for all recipients; any status but 200 raises. [SNK-09, UDF-04]
+
+    settings: url, key, secret, sender, sender_name, recipients (list), reply_to (may be missing); post: see post_json.
+    """
+
+    def __init__(self, settings: dict, logo: bytes | None = None, post: Callable[[str, str, str, dict], tuple[int, str]] = post_json):
+        if missing := [k for k in ("url", "key", "secret", "sender", "recipients") if not settings.get(k)]:
+            raise ValueError(f"missing mail settings: {', '.join(missing)}")
+        self.settings, self.logo, self.post = settings, logo, post
+
+    def send(self, edition: dict, html: str, text: str) -> int:
+        s = self.settings
+        # The field names of the service.
+        message = {
+            "From": {"Email": s["sender"], "Name": s.get("sender_name", "")}, "To": [{"Email": r} for r in s["recipients"]], "Subject": f"Daily Briefing — {edition['edition_date']}",
+            "TextPart": text, "HTMLPart": html, "CustomID": f"edition-{edition['edition_date']}",
+        }
+        if s.get("reply_to"):
+            message["ReplyTo"] = {"Email": s["reply_to"]}
+        if self.logo:
+            message["InlinedAttachments"] = [{"ContentType": "image/png", "Filename": "logo.png", "ContentID": "logo.png", "Base64Content": base64.b64encode(self.logo).decode()}]
+        status, answer = self.post(s["url"], s["key"], s["secret"], {"Messages": [message]})
+        if status != 200:
+            raise RuntimeError(f"mail was not sent ({status}): {answer}")
+        return len(s["recipients"])
+
+
 def may_send(ledger: DataFrame, edition_date: str, story_run_id: str, force: bool = False) -> bool:
     """Whether the ledger has no ``sent`` mark of this edition. [SNK-10]"""
     if force:
