@@ -117,7 +117,7 @@ def greedy_dedup(spark, d):
 
 KEYED = ARTICLES + r""",
 keyed AS (
-  SELECT ord, substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), 1, 12) AS k1, md5(substr(description, 1, 24)) AS k2, source_id FROM articles),
+  SELECT ord, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' ') AS k1, md5(description) AS k2, source_id FROM articles),
 numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM keyed)"""
 
 DEDUP_SQL = f"""
@@ -188,9 +188,8 @@ def valid_items(spark, d):
 
 
 VALID_SQL = """
-WITH v AS (SELECT source AS source_id, doc_id AS line, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 7 <> 0 AS ok FROM documents),
-b AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY source_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v)
-SELECT source_id, count(*) FILTER (ok) AS valid_count, max(line) FILTER (ok) AS last_line, count(*) FILTER (NOT ok) AS invalid_count FROM b WHERE before < 15 GROUP BY source_id
+WITH v AS (SELECT source AS source_id, doc_id AS line, doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 7 <> 0 AS ok FROM documents)
+SELECT source_id, count(*) FILTER (ok) AS valid_count, max(line) FILTER (ok) AS last_line, count(*) FILTER (NOT ok) AS invalid_count FROM v GROUP BY source_id
 """
 
 
@@ -208,7 +207,7 @@ def tag_dedup(spark, d):
 
 
 TAG_SQL = r"""
-WITH w AS (SELECT doc_id, list_slice(string_split_regex(substr(text, 1, 400), '[ \n]+'), 1, 24) AS w FROM documents),
+WITH w AS (SELECT doc_id, string_split_regex(text, '[ \n]+') AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS tag, unnest(range(1, len(w) + 1)) AS i FROM w),
 c AS (SELECT doc_id, tag, i, row_number() OVER (PARTITION BY doc_id, lower(tag) ORDER BY i) AS n FROM t WHERE tag <> '')
 SELECT w.doc_id, coalesce(string_agg(tag, '|' ORDER BY i) FILTER (n = 1), '') AS tags FROM w LEFT JOIN c ON w.doc_id = c.doc_id GROUP BY w.doc_id
@@ -242,7 +241,7 @@ pairs AS MATERIALIZED (
 
 ANY_SQL = f"""
 WITH {ARTICLES.strip()},
-e AS MATERIALIZED (SELECT DISTINCT ord, unnest(regexp_extract_all(lower(title || chr(10) || description), '[a-z]{{11,}}')) AS e FROM articles),
+e AS MATERIALIZED (SELECT DISTINCT ord, unnest(regexp_extract_all(lower(title || chr(10) || description), '[a-z]{{9,}}')) AS e FROM articles),
 n AS (SELECT ord, count(*) AS n FROM e GROUP BY ord)
 SELECT x.ord AS a, y.ord AS b, string_agg(x.e, ',' ORDER BY x.e) AS shared_entities, count(*) / CAST(least(any_value(na.n), any_value(nb.n)) AS DOUBLE) AS entity_score
 FROM e x JOIN e y ON x.e = y.e AND x.ord < y.ord JOIN n na ON na.ord = x.ord JOIN n nb ON nb.ord = y.ord GROUP BY x.ord, y.ord
@@ -250,10 +249,10 @@ FROM e x JOIN e y ON x.e = y.e AND x.ord < y.ord JOIN n na ON na.ord = x.ord JOI
 
 
 def _scored(spark, d):
-    rows = articles(spark, d)
     pairs = cut(stories.entity_pairs(_entities(spark, d)))
-    weights = stories.token_weights(rows.select("ord", T.article_text(F.col("title"), F.col("description")).alias("text")))
-    return stories.score_pairs(pairs, stories.lexical_scores(pairs, weights))
+    needed = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
+    texts = articles(spark, d).join(needed, "ord", "left_semi").select("ord", T.article_text(F.col("title"), F.col("description")).alias("text"))
+    return stories.score_pairs(pairs, stories.lexical_scores(pairs, cut(stories.article_vectors(texts))))
 
 
 def pair_scores(spark, d):
@@ -367,10 +366,6 @@ SELECT c.story_id, r.source_id, r.section, c.position FROM chosen c JOIN ranked
 """
 
 
-def editions(spark, d):
-    return selection.select_stories(_candidates(spark, d), 10, 3, "edition").select("edition", "story_id", "position")
-
-
 def edition_text(spark, d):
     chosen = selection.select_stories(_candidates(spark, d), 12, 2)
     return sinks.edition_text(chosen, "The Broadsheet", "2024-01-05", "Source links open the original articles.")
@@ -387,11 +382,6 @@ SELECT concat_ws(chr(10), 'THE BROADSHEET', '05 January 2024', '', string_agg(pa
 """
 
 
-def edition_html(spark, d):
-    chosen = selection.select_stories(_candidates(spark, d), 12, 2)
-    return sinks.edition_html(chosen, "The Broadsheet", "2024-01-05")
-
-
 def source_list(spark, d):
     rows = _candidates(spark, d).withColumn("position", F.col("article_count") * 1_000_000 + F.col("ord"))
     return selection.source_list(rows.withColumn("source_name", F.when(F.col("edition") > 1, F.initcap("source_name"))))
@@ -511,7 +501,7 @@ AND (title ILIKE '%ing%' OR description ILIKE '%ing%') AND article_id <> 'a00000
 def upsert_pairs(spark, d):
     marks = _marks(spark, d)
     saved = marks.where(F.col("id") % 3 != 0)
-    batch = marks.where(F.col("id") % 5 < 2).select(
+    batch = marks.where((F.col("id") % 3 == 0) | (F.col("id") % 5 < 2)).select(  # every mark is in one of them at least
         "run_id", F.col("article_id_b").alias("article_id_a"), F.col("article_id_a").alias("article_id_b"), "reference_article_id", F.lit("related").alias("label"), F.lit("again").alias("notes"), "annotator_id", F.col("id").alias("ord")
     )
     return annotate.upsert_pairs(saved, batch, "2024-03-01").select("id", "article_id_a", "article_id_b", "annotator_id", "label", "notes", "created_at", "updated_at")
@@ -520,7 +510,7 @@ def upsert_pairs(spark, d):
 UPSERT_SQL = f"""
 WITH {MARKS.strip()},
 saved AS (SELECT * FROM marks WHERE id % 3 <> 0),
-batch AS (SELECT run_id, article_id_a, article_id_b, annotator_id, 'related' AS label, 'again' AS notes, id AS ord FROM marks WHERE id % 5 < 2),
+batch AS (SELECT run_id, article_id_a, article_id_b, annotator_id, 'related' AS label, 'again' AS notes, id AS ord FROM marks WHERE id % 3 = 0 OR id % 5 < 2),
 j AS (
   SELECT s.id, coalesce(s.run_id, b.run_id) AS run_id, coalesce(s.article_id_a, b.article_id_a) AS article_id_a, coalesce(s.article_id_b, b.article_id_b) AS article_id_b,
          coalesce(s.annotator_id, b.annotator_id) AS annotator_id, coalesce(b.label, s.label) AS label, coalesce(b.notes, s.notes) AS notes, s.created_at,
@@ -533,7 +523,7 @@ SELECT CAST(coalesce(id, (SELECT max(id) FROM saved) + row_number() OVER (PARTIT
 
 def import_if_absent(spark, d):
     rows = articles(spark, d).withColumn("run_id", F.lit(1).cast("long"))
-    return annotate.import_articles(rows.where(F.col("ord") % 3 == 0), rows.where(F.col("ord") % 2 == 0)).select("article_id")
+    return annotate.import_articles(rows.where(F.col("ord") % 3 == 0), rows.where((F.col("ord") % 3 != 0) | (F.col("ord") % 2 == 0))).select("article_id")
 
 
 def nav_prev_next(spark, d):
@@ -580,16 +570,11 @@ STORIES_SQL = (
 )
 
 
-def daily_edition(spark, d):
-    """The whole run: articles to stories to an edition with fallback rewrites."""
-    return daily.edition_of(daily.stories_of(articles(spark, d))["stories"]).select("position", "story_id", "section", "source_id", "article_count")
-
-
 def queries() -> dict:
     names = (
         url_canonical, title_key, html_text, html_tokens, published_norm, props_json, greedy_dedup, source_dedup, first_wins_dedup, feed_limit, run_rollup, valid_items, cache_split, tag_dedup,
-        entity_pairs, any_entity_pairs, pair_scores, star_stories, quota_topk, select_edition, editions, edition_text, edition_html, source_list, reference_list, unlabeled, labeled, pair_lookup,
-        pair_titles, label_counts, progress, facets, candidate_filter, upsert_pairs, import_if_absent, nav_prev_next, email_register, daily_edition,
+        entity_pairs, any_entity_pairs, pair_scores, star_stories, quota_topk, select_edition, edition_text, source_list, reference_list, unlabeled, labeled, pair_lookup,
+        pair_titles, label_counts, progress, facets, candidate_filter, upsert_pairs, import_if_absent, nav_prev_next, email_register,
     )
     return {f.__name__: f for f in names} | {"stories": flagship}
 
@@ -628,7 +613,7 @@ def oracle_sql() -> dict[str, str]:
         "facets": f"WITH {ARTICLES.strip()} SELECT DISTINCT source_id, scope FROM articles",
         "candidate_filter": FILTER_SQL,
         "upsert_pairs": UPSERT_SQL,
-        "import_if_absent": f"WITH {ARTICLES.strip()} SELECT article_id FROM articles WHERE ord % 2 = 0 AND ord % 3 <> 0",
+        "import_if_absent": f"WITH {ARTICLES.strip()} SELECT article_id FROM articles WHERE ord % 3 <> 0",
         "nav_prev_next": NAV_SQL,
         "email_register": EMAIL_SQL,
     }
