@@ -1,51 +1,13 @@
-"""Connected components of links, by alternating large and small stars (DataFrame functions only).
-
-Every round is a minimum by node and a join on it; hubs are cut to stars of their smallest neighbour, and skewed joins
-are left to adaptive execution. Nothing is gathered by component or sent to the driver.
-"""
+"""Connected components of links between integer ids: the library's, with ids as 64-bit integers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm import common
-
-MOST_ROUNDS = 60
-
-
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    joined = both.where("v > u").join(least, F.col("u") == F.col("x"))
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-    joined = edges.join(least, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
-
-
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every node has one edge to a smaller one, or is the end of edges only."""
-    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into"))
-    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-    nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-    return not nodes.where("out > 1 OR (out = 1 AND into = 1)").limit(1).count()
+from broadsheet.operators import components as library
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node is linked with; nodes without links are not in it."""
-    edges = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
-    edges = common.scratch(edges, "component-edges")
-    for _ in range(MOST_ROUNDS):
-        if _are_stars(edges):
-            break
-        after = common.scratch(_small(_large(edges)), "component-edges")
-        common.drop(edges)
-        edges = after
-    else:
-        raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return library.components(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")))
