@@ -12,11 +12,15 @@ Nothing that links can be lost:
 * What goes on is decided by the exact cosine in double precision.
 
 Centroids and codes are fitted on ``SAMPLE`` vectors at most (those with the smallest hashed ids); every vector is indexed. Lists are
-dealt over groups of bounded size; a query goes once to each group with a list that it probes, and only to lists not
-below its own, as a pair is found from one side.
+dealt over groups of about ``GROUP_ROWS`` vectors: small lists share one, a larger list is divided by the hash of the ids. A query
+goes once to each group that holds a part of a list that it probes, and only to lists not below its own, as a pair is
+found from one side.
+
+Lengths of vectors fall into classes by powers of two, at most 31; within a class the shorter ones are filled up with zeros, which changes
+no cosine, and only pairs of equal lengths count.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
-kept; vectors of different dimensions do not link; rows with equal ids are rows each; an empty table gives none.
+kept, as are rows with null ids; vectors of different lengths do not link; rows with equal ids are rows each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm import common
+from broadsheet.llm import common, wordhash
 from broadsheet.llm.components import components
 
 #: Vectors that centroids and codes are fitted on, at most.
@@ -40,7 +44,6 @@ GROUP_ROWS = 4096
 LEAST_GROUPS = 12
 ROUNDS = 8
 TILE = 512
-MOST_DIMS = 64
 EPS = 1e-6
 
 
@@ -84,14 +87,13 @@ class Quantiser:
         n = (self.centres**2).sum(1)
         return n[:, None] + n[None, :] - 2 * self.centres @ self.centres.T
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes, coding error, and the part of the distance that does not depend on a query."""
-        at = _nearest(x, self.centres)
+    def encode(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of vectors of the lists ``at``, coding error, and the part of the distance that does not depend on a query."""
         rest = x - self.centres[at]
         codes = np.stack([_nearest(rest[:, p], c) for p, c in zip(self.parts, self.codes, strict=True)], 1).astype(np.uint8)
         coded = np.concatenate([c[codes[:, i]] for i, c in enumerate(self.codes)], 1) if len(x) else rest
         error = np.sqrt(((rest - coded) ** 2).sum(1))
-        return at, codes, error, 2 * (self.centres[at] * coded).sum(1) + (coded**2).sum(1)
+        return codes, error, 2 * (self.centres[at] * coded).sum(1) + (coded**2).sum(1)
 
     def probes(self, x: np.ndarray) -> np.ndarray:
         """Which lists (columns) each vector must look into."""
@@ -113,10 +115,17 @@ class Quantiser:
         return out
 
 
-def _matrix(column, dims: int) -> np.ndarray:
+def _matrix(column, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors filled up with zeros to ``dims``, and their lengths."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    if len(flat) == len(sizes) * dims:
+        return flat.reshape(-1, dims), sizes
+    out = np.zeros((len(sizes), dims))
+    out[np.repeat(np.arange(len(sizes)), sizes), wordhash.ragged(np.zeros(len(sizes), np.int64), sizes)] = flat
+    return out, sizes
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -140,36 +149,56 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
+def layout(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First group and number of groups of each list, so that a group holds about ``most`` vectors."""
+    parts = np.maximum(1, -(-sizes // most))
+    first, at, load = np.zeros(len(sizes), np.int64), 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if load and load + n > most:
+            at, load = at + 1, 0
+        first[c] = at
+        at, load = (at + int(parts[c]), 0) if parts[c] > 1 else (at, load + n)
+    return first, parts
+
+
 def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
-    """(id, k, other) for classes (id, v, m) of one dimension: k vectors linked with id in a group, other: a class linked with it.
+    """(id, k, other) for classes (id, v, m) of vectors of at most ``dims`` components.
 
-    A group sums its links and keeps a tree of each component, so its rows do not grow with the square of a component.
+    k: vectors linked with id in a group; other: a class linked with it. A group sums its links and keeps a tree of each
+    component, so its rows do not grow with the square of a component.
     """
     spark = classes.sparkSession
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
     lists = int(min(MOST_LISTS, max(16, round(n**0.5))))
-    quantiser = Quantiser(_unit(_matrix(sample.column("v"), dims)), lists, least)
+    quantiser = Quantiser(_unit(_matrix(sample.column("v"), dims)[0]), lists, least)
     lists = len(quantiser.centres)
-    groups = max(LEAST_GROUPS, -(-n // GROUP_ROWS))
-    sent = spark.sparkContext.broadcast(quantiser)
+    fitted = spark.sparkContext.broadcast(quantiser)
+
+    def count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(lists, np.int64)
+        for batch in batches:
+            total += np.bincount(_nearest(_unit(_matrix(batch.column(0), dims)[0]), fitted.value.centres), minlength=lists) if batch.num_rows else 0
+        yield pa.RecordBatch.from_pydict({"list": pa.array(np.arange(lists), pa.int32()), "k": pa.array(total, pa.int64())})
+
+    held_by = np.zeros(lists, np.int64)
+    for r in classes.select("v").mapInArrow(count_lists, "list int, k long").groupBy("list").agg(F.sum("k").alias("k")).collect():  # a row a list
+        held_by[r.list] = r.k
+    first, parts = layout(held_by, max(256, min(GROUP_ROWS, -(-n // LEAST_GROUPS))))
+    sent = spark.sparkContext.broadcast((quantiser, first, parts))
     schema = "place int, asks boolean, id long, list int, v array<double>, m long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = sent.value
-        group_of = np.arange(lists) * groups // lists
+        q, first, parts = sent.value
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                x = _unit(_matrix(part.column(1), dims))
+                x = _unit(_matrix(part.column(1), dims)[0])
                 at = _nearest(x, q.centres)
-                must = q.probes(x) & (np.arange(lists) >= at[:, None])
-                goes = np.zeros((len(x), groups), bool)
-                for g in range(groups):
-                    if (own := group_of == g).any():
-                        goes[:, g] = must[:, own].any(1)
-                row, place = np.nonzero(goes)
-                row, place = np.concatenate([np.arange(len(x)), row]), np.concatenate([group_of[at], place])
+                drawn = (wordhash.mix(part.column(0).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+                row, to = np.nonzero(q.probes(x) & (np.arange(lists) >= at[:, None]))
+                both = np.unique(np.stack([np.repeat(row, parts[to]), wordhash.ragged(first[to], parts[to])]), axis=1)
+                row, place = np.concatenate([np.arange(len(x)), both[0]]), np.concatenate([first[at] + drawn % parts[at], both[1]])
                 asks = np.arange(len(row)) >= len(x)
                 take = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
@@ -177,12 +206,13 @@ def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
                 )
 
     def search(table: pa.Table) -> pa.Table:
-        q = sent.value
+        q = sent.value[0]
         ids, asks, own = table.column("id").to_numpy(), table.column("asks").to_numpy(), table.column("list").to_numpy()
-        raw = _matrix(table.column("v"), dims)
+        raw, length = _matrix(table.column("v"), dims)
         unit = _unit(raw) if len(raw) else raw
         held = np.flatnonzero(~asks)
-        at, codes, error, fixed = q.encode(unit[held])
+        at = own[held]
+        codes, error, fixed = q.encode(unit[held], at)
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(lists + 1))
         names, node = np.unique(ids, return_inverse=True)
@@ -207,7 +237,7 @@ def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
                 found_b.append(held[members[m]])
             a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
             b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-            once = (own[a] < own[b]) | (ids[a] < ids[b])
+            once = ((own[a] < own[b]) | (ids[a] < ids[b])) & (length[a] == length[b])
             a, b = a[once], b[once]
             exact = np.concatenate([_cosines(raw[a[k : k + 65536]], raw[b[k : k + 65536]]) for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
             a, b = node[a[exact >= least]], node[b[exact >= least]]
@@ -227,15 +257,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     doubles = F.transform(v, lambda x: x.cast("double") + F.lit(0.0))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.when(fine, doubles).alias("v"))
-    rows = rows.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64("v", F.lit(1)))
+    # Two independent keys: the hash of a first column is the seed for the next.
+    rows = rows.withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(1), "v"))
     good = rows.where("v IS NOT NULL AND id IS NOT NULL")
     classes = common.scratch(good.groupBy("k1", "k2").agg(F.min_by(F.struct("id", "v"), "id").alias("one"), F.count("*").alias("m")).select("k1", "k2", "m", "one.*"), "neardup-classes")
-    dims = sorted(r.d for r in classes.select(F.size("v").alias("d")).distinct().limit(MOST_DIMS + 1).collect())
-    if len(dims) > MOST_DIMS:
-        raise ValueError(f"vectors of over {MOST_DIMS} different dimensions")
+    power = F.ceil(F.log2(F.size("v"))).cast("int")
+    longest = {r.p: r.d for r in classes.groupBy(power.alias("p")).agg(F.max(F.size("v")).alias("d")).collect()}  # at most 31 rows
     links = df.sparkSession.createDataFrame([], "id long, k long, other long")
-    for d in dims:
-        links = links.unionByName(_links(classes.where(F.size("v") == d), d, least))
+    for p, d in sorted(longest.items()):
+        links = links.unionByName(_links(classes.where(power == p), d, least))
     links = common.scratch(links, "neardup-links")
     names = components(links, "id", "other")
     linked = links.groupBy(F.col("id").alias("a")).agg(F.sum("k").alias("k"))
