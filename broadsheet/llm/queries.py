@@ -76,7 +76,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels")
     scored = toxicity_scores(docs, labels, _fold("doc_id") != 0)
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
-    return scored.select("doc_id", (_fold("doc_id") == 0).alias("held_out"), "score", predicted)
+    held_out = F.coalesce(_fold("doc_id") == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", predicted)
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 Features of a text are its distinct words, word pairs, and word pairs with one word between (lower case, trimmed of
 punctuation), hashed into 2**BITS places. Training runs over a sample of labelled rows, bounded by ``MOST_ROWS`` (those with the
-smallest hashed ids), in one task; the L1 term leaves few weights, which are broadcast: at most 2**BITS, whatever
-the corpus. Scoring streams every whole text.
+smallest hashed ids; of several rows of an id one) and by ``MOST_FEATURES`` (rows behind that many features are not learnt), in
+one task; the L1 term leaves few weights, which are broadcast: at most 2**BITS, whatever the corpus. Scoring streams every whole text.
 
 Defined results: null text is empty; an empty text has the bias alone; labels that are null are no labels; of several
-labels of an id the largest counts; without labelled rows every score is 0.
+labels of an id the largest counts; rows with null ids are scored and never learnt from; repeated rows are scored each
+and learnt once; columns of any name may be there; without labelled rows every score is 0; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from broadsheet.llm import wordhash
 BITS = 20
 #: Labelled rows that training looks at, at most.
 MOST_ROWS = 16_384
+#: Features of all rows that training holds in memory, at most (4 bytes each).
+MOST_FEATURES = 64_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 0.1, 8.0, 0.01
 
@@ -79,12 +82,14 @@ def sample_labels(labels: DataFrame, usable: Column, id_col: str, label_col: str
 
 def train(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of the weights that are not 0; the bias is at 2**BITS."""
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("label_id")).select(
-        F.xxhash64("label_id").alias("order"), F.col(text_col).cast("string").alias("text"), "label"
-    )
+    mine = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = mine.join(F.broadcast(sample), F.col("doc") == F.col("label_id"))
+    once = rows.groupBy("label_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = once.select(F.xxhash64("label_id").alias("order"), "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[np.ndarray, int]] = []
+        held = 0
         for batch in batches:
             labels = batch.column(2).to_pylist()
             for row, texts in wordhash.steps(batch.column(1)):
@@ -92,6 +97,9 @@ def train(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tup
                 both = np.unique((doc << BITS) | place)
                 doc, place = both >> BITS, (both & ((1 << BITS) - 1)).astype(np.int32)
                 cuts = np.searchsorted(doc, np.arange(len(texts.bounds)))
+                held += len(place)
+                if held > MOST_FEATURES:
+                    continue
                 seen += [(place[a:b], labels[row + i]) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
         model = Ftrl()
         for _ in range(EPOCHS if seen else 0):
