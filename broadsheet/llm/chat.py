@@ -10,7 +10,7 @@ piece of output of its own, with the span of it that the loss covers (texts of t
 of any length is never held as a whole.
 
 Defined results: null text and null role are empty; null conversation ids form one conversation; turns with equal
-numbers are ordered by role and text; repeated rows are turns of their own; an empty table gives an empty result.
+numbers are ordered by role and text (a piece carries its place in the conversation); repeated rows are turns of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 PIECES = "conv_id long, turn long, piece int, role string, text string, layout string"
-FORMATTED = "conv_id long, turn long, piece int, formatted string, loss_start int, loss_end int"
+FORMATTED = "conv_id long, ord long, turn long, piece int, formatted string, loss_start int, loss_end int"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -193,10 +193,17 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """Canonical turns (PIECES) -> pieces of the template in conversation order (FORMATTED); unmapped records are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, place = None, -1  # a conversation lies in one task, its turns follow each other
         for batch in batches:
+            places = []
+            for conv in batch.column(0).to_pylist():
+                place = place + 1 if conv == key else 0
+                key = conv
+                places.append(place)
             done = [format_turn(r, t) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             columns = [pa.array([d[i] for d in done], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(3)] + columns, names=[f.split()[0] for f in FORMATTED.split(", ")])
+            front = [batch.column(0), pa.array(places, pa.int64()), batch.column(1), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(front + columns, names=[f.split()[0] for f in FORMATTED.split(", ")])
 
     ordered = turns.where("layout IS NOT NULL").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece", "role", "text")
     return ordered.mapInArrow(run, FORMATTED)
@@ -233,6 +240,5 @@ def digest(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield close()
 
-    # Order by the turns' place; the role and text order of equal turns is that of the pieces.
-    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "piece", "formatted")
+    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "ord")
     return rows.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, DIGEST)
