@@ -36,6 +36,10 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = 60 // COUNTS
 ESCAPE = len(COUNTS)
 PAD = int(COUNTS[0])
+#: Bytes of text in a part, from which on there are more parts than the session's shuffle partitions.
+PART_BYTES = 256 << 20
+#: Characters of a text by which rows of one id are dealt to parts; within a part whole texts are compared.
+TIE_CHARS = 200
 FILE_SCHEMA = "part int, segment int, n_docs int, n_ids long, data binary"
 
 
@@ -188,8 +192,13 @@ def write_token_files(
                 segment += 1
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Rows with equal ids can be dealt to different parts, by their texts.
-    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    # Rows with equal ids can be dealt to different parts, by the beginnings of their texts; equal beginnings stay together.
+    rows = rows.withColumn("tie", F.substring("text", 1, TIE_CHARS))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    parts = -(-total // PART_BYTES)
+    fewer = parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange("id", "tie") if fewer else rows.repartitionByRange(parts, "id", "tie")
+    ordered = dealt.sortWithinPartitions("id", "text").select("id", "text")
     ordered.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
