@@ -8,6 +8,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the last
 return the columns of ``docs``.
+
+Defined results: a null text is an empty one; it is scored, linked with nothing, keeps its place in the mix (taken as often as its
+source, with size 0) and packs to the end id alone. Rows with null ids are scored but never learnt from; those with near copies go
+if any of the group has an id, else one of them stays. Of rows with equal id and text one stays; rows with one id and different texts are all kept
+if the id is kept. Ties are decided by ids, then texts. Columns of any other name are handed on. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,17 +48,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     common.ship(spark)
     found = common.scratch(jaccard.document_components(docs), "pipeline-components")
-    key = jaccard.document_key("doc_id", "text")
-    gone = found.where("key <> root").select(F.col("key").alias("gone_id")).distinct()
-    hint = F.broadcast if gone.count() <= jaccard.BROADCAST_IDS else (lambda x: x)
-    left = docs.join(hint(gone), key == F.col("gone_id"), "left_anti")
-    again = found.where("named OR n_shingles > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("again_id"))
-    if not again.limit(1).count():
-        return left
-    hint = F.broadcast if again.count() <= jaccard.BROADCAST_IDS else (lambda x: x)
-    once = left.join(hint(again), key == F.col("again_id"), "left_anti")
-    repeated = left.join(hint(again), key == F.col("again_id"), "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    # A row is a column of its own, so that no name in it can clash with those of the joins.
+    rows = docs.select(jaccard.document_key("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    small = lambda t: F.broadcast(t) if t.count() <= jaccard.BROADCAST_IDS else t
+    left = rows.join(small(found.where("key <> root").select("key").distinct()), "key", "left_anti")
+    again = found.where("named OR n_shingles > 0").groupBy("key").count().where("count > 1").select("key")
+    if again.limit(1).count():
+        again = small(again)
+        repeated = left.join(again, "key", "left_semi").withColumn("text", F.col("row.text")).dropDuplicates(["key", "text"]).drop("text")
+        left = left.join(again, "key", "left_anti").unionByName(repeated)
+    return left.select("row.*")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
