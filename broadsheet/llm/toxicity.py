@@ -114,12 +114,12 @@ def train(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tup
     return got.column("at").to_numpy(), got.column("w").to_numpy()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id_col, the columns ``keep``, and score (0 to 1) of every row."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """id_col, the columns ``keep``, and score_col (0 to 1) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
     keep = keep or []
     names = [f"keep_{i}" for i in range(len(keep))]
-    rows = docs.select(F.col(id_col).alias("keep_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    rows = docs.select(F.col(id_col).alias("keep_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{n} {kinds[n]}" for n in ["keep_id", *names]) + ", score double"
 
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
             columns = [batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array(probability)]
             yield pa.RecordBatch.from_arrays(columns, names=["keep_id", *names, "score"])
 
-    return rows.mapInArrow(run, schema).select(F.col("keep_id").alias(id_col), *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score")
+    return rows.mapInArrow(run, schema).select(F.col("keep_id").alias(id_col), *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("score").alias(score_col))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
