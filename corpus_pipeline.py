@@ -38,7 +38,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     usable = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     model = train(docs, sample_labels(labels, usable, "doc_id", "toxic"), "doc_id", "text")
     columns = docs.columns
-    return score(docs, model, keep=[c for c in columns if c != "doc_id"]).where(F.col("score") < TOXIC).select(columns)
+    free = "_" * (1 + max(map(len, columns)))  # a name that no column has
+    return score(docs, model, keep=[c for c in columns if c != "doc_id"], score_col=free).where(F.col(free) < TOXIC).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
