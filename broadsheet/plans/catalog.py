@@ -100,8 +100,7 @@ SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS published_at,
 
 
 def props_json(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.from_json("props", "k int").k.alias("k"), T.safe_tags(F.col("props")).alias("tags"))
-    return rows.select("event_id", F.col("k").cast("long").alias("k"), F.size("tags").cast("long").alias("n_tags"))
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k int").k.cast("long").alias("k"))
 
 
 # --- dedup and ingestion --------------------------------------------------------------------------------------------
@@ -585,7 +584,7 @@ def oracle_sql() -> dict[str, str]:
         "title_key": f"WITH {ARTICLES.strip()} SELECT ord, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' ') AS title_key FROM articles",
         "html_text": HTML_SQL,
         "published_norm": PUBLISHED_SQL,
-        "props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(0 AS BIGINT) AS n_tags FROM events",
+        "props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "greedy_dedup": DEDUP_SQL,
         "source_dedup": SOURCE_DEDUP_SQL,
         "first_wins_dedup": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",

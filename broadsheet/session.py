@@ -64,8 +64,9 @@ def drop(*frames: DataFrame) -> None:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application; results that still read them become unreadable."""
-    for path in _folders.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+    app = spark.sparkContext.applicationId
+    if _folders.pop(app, []):
+        _delete(spark, f"{shared_root(spark).rstrip('/')}/broadsheet/{app}")
 
 
 @atexit.register
