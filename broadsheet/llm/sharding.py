@@ -6,6 +6,7 @@ group holds, admitted by quotas, so that few links are cut while every shard kee
 
 * A vertex is a bundle: the documents of one group whose id hash is equal modulo ``BUNDLES``. A group thus has at most
   ``BUNDLES`` vertices whatever its size, so no key of a join or window holds more than a small, fixed part of all rows.
+* Bundles of a group that is small against a shard start with one label, drawn by the group; those of larger ones with labels of their own.
 * A round sums the rows of each (group, shard) cell, orders a group's shards by what it already has there, walks
   that order while the shards have room, and so gives each bundle a wanted shard. Movers to a shard are dealt over
   lanes; each lane gets its part of the shard's room and admits bundles in the order of their gain.
@@ -27,6 +28,12 @@ LANES = 32
 #: Bundles of a (shard, lane) group in which movers are ranked; few lanes round quotas less.
 BUNDLES_PER_LANE = 2_000
 STAY_SLOTS = 1024
+#: A group of up to this part of a shard's rows starts in one shard.
+SMALL_GROUP = 1 / 4
+#: Up to so many quotas (a row a shard and lane) are broadcast.
+BROADCAST_QUOTAS = 100_000
+#: Lanes whose first ranks are summed together.
+LANES_TOGETHER = 4096
 #: Rows of a (shard, lane) group in which slots are numbered.
 ROWS_PER_LANE = 100_000
 
@@ -41,19 +48,17 @@ def _settled(wanted: DataFrame, room: list[int], lanes: int) -> DataFrame:
     wanted: gid, bundle, n, shard, want (null: stays), gain. A lane of a shard gets its part of the shard's room, and admits its
     movers in the order of their gain while they fit. Bundles that stay are dealt by hash, so no key gathers them.
     """
-    spark = wanted.sparkSession
     lane = F.col("want") * lanes + F.pmod(_hash("gid", "bundle"), F.lit(lanes)).cast("int")
     rows = common.scratch(wanted.withColumn("slot", F.coalesce(lane, -1 - F.pmod(_hash("gid", "bundle"), F.lit(STAY_SLOTS)).cast("int"))), "shard-wanted")
-    asked = {r.slot: r.asked for r in rows.where("slot >= 0").groupBy("slot").agg(F.sum("n").alias("asked")).collect()}  # shards * lanes rows at most
-    total: dict[int, int] = {}
-    for slot, n in asked.items():
-        total[slot // lanes] = total.get(slot // lanes, 0) + n
-    quotas = [(slot, min(n, room[slot // lanes] * n // total[slot // lanes])) for slot, n in asked.items()]
-    quota = spark.createDataFrame(quotas, "slot int, quota long")
+    asked = rows.where("slot >= 0").groupBy("slot").agg(F.sum("n").alias("asked")).withColumn("to", F.floor(F.col("slot") / lanes).cast("int"))
+    free = F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("to") + 1)
+    asked = asked.withColumn("total", F.sum("asked").over(Window.partitionBy("to"))).withColumn("room", free)  # lanes of a shard
+    quota = asked.selectExpr("slot", "least(asked, CAST(room AS DECIMAL(19, 0)) * asked DIV total) AS quota")
+    quota = F.broadcast(quota) if len(room) * lanes <= BROADCAST_QUOTAS else quota
     order = Window.partitionBy("slot").orderBy(F.col("gain").desc(), "gid", "bundle")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     moved = F.coalesce(F.col("upto") <= F.col("quota"), F.lit(False))
-    out = rows.withColumn("upto", upto).join(F.broadcast(quota), "slot", "left").withColumn("moved", moved)
+    out = rows.withColumn("upto", upto).join(quota, "slot", "left").withColumn("moved", moved)
     settled = common.scratch(out.select("gid", "bundle", "n", F.when(F.col("moved"), F.col("want")).otherwise(F.col("shard")).alias("shard"), "moved"), "shard-labels")
     common.drop(rows)
     return settled
@@ -79,6 +84,16 @@ def _wanted(bundles: DataFrame, room: list[int]) -> DataFrame:
     return met.select("gid", "bundle", "n", "shard", want.alias("want"), (F.col("holds") - F.coalesce("has", F.lit(0))).alias("gain"))
 
 
+def _first_ranks(counts: DataFrame) -> DataFrame:
+    """(lane, first): the rank of a lane's first row, from (lane, k); lanes are summed in two levels."""
+    rows = counts.withColumn("block", F.floor(F.col("lane") / LANES_TOGETHER))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = rows.groupBy("block").agg(F.sum("k").alias("b"))
+    blocks = blocks.select("block", (F.sum("b").over(upto(Window.orderBy("block"))) - F.col("b")).alias("before"))  # a row for LANES_TOGETHER lanes
+    inside = F.sum("k").over(upto(Window.partitionBy("block").orderBy("lane"))) - F.col("k")
+    return rows.withColumn("inside", inside).join(blocks, "block").select("lane", (F.col("before") + F.col("inside")).alias("first"))
+
+
 def _room(bundles: DataFrame, n_shards: int, most: int) -> list[int]:
     """Rows that each shard can still take."""
     loads = {r.shard: r.load for r in bundles.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("n").alias("load")).collect()}  # one row a shard
@@ -93,7 +108,6 @@ def shard_documents(
     rounds: int = 6,
 ) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard (null under law ``rows``)."""
-    spark = df.sparkSession
     text = common.text_or_empty(text_col)
     heads = common.scratch(
         df.select(
@@ -107,13 +121,14 @@ def shard_documents(
     )
     all_bundles = heads.groupBy("gid", "bundle").agg(F.count("*").alias("n"))
     group_rows = Window.partitionBy("gid")  # at most BUNDLES rows
-    linked = all_bundles.withColumn("m", F.sum("n").over(group_rows)).where("m > 1").drop("m")
+    linked = all_bundles.withColumn("m", F.sum("n").over(group_rows)).where("m > 1")
     linked = common.scratch(linked, "shard-linked")
     n_rows = heads.count()
     most = n_rows // n_shards  # the quota that every shard has, whichever get the rows left over
 
     lanes_n = max(1, -(-linked.count() // (n_shards * BUNDLES_PER_LANE)))
-    first = F.pmod(_hash("gid", "bundle", F.lit(1)), F.lit(n_shards)).cast("int")
+    own = F.when(F.col("m") <= SMALL_GROUP * most, _hash("gid", F.lit(1))).otherwise(_hash("gid", "bundle", F.lit(1)))
+    first = F.pmod(own, F.lit(n_shards)).cast("int")
     start = linked.select("gid", "bundle", "n", F.lit(None).cast("int").alias("shard"), first.alias("want"), F.lit(0).cast("long").alias("gain"))
     bundles = _settled(start, [most] * n_shards, lanes_n)
     for _ in range(rounds):
@@ -134,10 +149,9 @@ def shard_documents(
     placed = common.scratch(placed, "shard-placed")
     pool = placed.where("shard IS NULL")
     counts = pool.groupBy("lane").agg(F.count("*").alias("k"))
-    # One row per lane, ordered: the rank of a lane's first row.
-    firsts = counts.select("lane", (F.sum("k").over(Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).alias("first"))
+    firsts = _first_ranks(counts)
     rank = F.row_number().over(Window.partitionBy("lane").orderBy("id", "text_crc32", "size")) - 1
-    ranked = pool.withColumn("rank", rank).join(F.broadcast(firsts), "lane").withColumn("rank", F.col("rank") + F.col("first"))
+    ranked = pool.withColumn("rank", rank).join(firsts, "lane").withColumn("rank", F.col("rank") + F.col("first"))
     filled = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("rank"))).cast("int")
     ranked = ranked.withColumn("shard", filled)
     columns = ["id", "size", "text_crc32", "shard", "lane"]
