@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from broadsheet.llm import memory  # noqa: F401 - acts by its import, in every worker that looks at texts
+
 _MASK = (1 << 64) - 1
 #: Bytes of text that one vectorised step looks at; a single longer text is a step of its own.
 STEP_BYTES = 1 << 20
