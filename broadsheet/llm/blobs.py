@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from broadsheet.llm import wordhash
 
@@ -58,3 +61,50 @@ def table(columns: dict[str, object], schema: str) -> pa.RecordBatch:
     names = [f.split() for f in schema.split(", ")]
     arrays = [c if isinstance(c := columns[n], pa.Array) else pa.array(c, kinds[k]) for n, k in names]
     return pa.RecordBatch.from_arrays([a.cast(kinds[k]) for a, (_, k) in zip(arrays, names, strict=True)], names=[n for n, _ in names])
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose binary values of a column have about ``most`` bytes together; a larger value is a run of its own."""
+    behind = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < batch.num_rows:
+        stop = int(np.searchsorted(behind, (behind[row - 1] if row else 0) + most, "right"))
+        stop = max(stop, row + 1)
+        yield batch.slice(row, stop - row)
+        row = stop
+
+
+#: Buckets of hashes that one batch is divided into, at most.
+MOST_BUCKETS = 4096
+
+
+def refined(rows: DataFrame, schema: str, bucket_of: Callable[[np.ndarray], np.ndarray], hashed: list[tuple[str, ...]], loose: tuple[str, ...]) -> DataFrame:
+    """Rows (``schema``, with a column bucket) of coarse buckets dealt anew to fine ones.
+
+    A batch that goes to very many buckets would send a row for nearly each hash. So it sends coarse buckets, which meet here and are
+    divided by what ``bucket_of`` says of their hashes. hashed: columns of 64-bit hashes, each with the columns that go with it, as
+    "name:kind"; loose: columns that may lie in any bucket and stay together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sorted_by, found = [], []
+            for names in hashed:
+                values = [from_blobs(batch.column(batch.schema.get_field_index(n)), k)[0] for n, k in (c.split(":") for c in names)]
+                fine = bucket_of(values[0])
+                order = np.argsort(fine, kind="stable")
+                sorted_by.append(fine[order])
+                found.append([v[order] for v in values])
+            used = np.unique(np.concatenate(sorted_by))
+            rest = [from_blobs(batch.column(batch.schema.get_field_index(n)), k)[0] for n, k in (c.split(":") for c in loose)]
+            if not len(used):
+                used = np.unique(batch.column(batch.schema.get_field_index("bucket")).to_numpy())[:1]
+            columns: dict[str, object] = {"bucket": used}
+            for names, by, values in zip(hashed, sorted_by, found, strict=True):
+                cuts = np.append(np.searchsorted(by, used), len(by))
+                columns |= {c.split(":")[0]: to_blobs(v, cuts) for c, v in zip(names, values, strict=True)}
+            for c, v in zip(loose, rest, strict=True):
+                columns[c.split(":")[0]] = to_blobs(v, np.concatenate([[0], np.full(len(used), len(v))]))
+            yield table(columns, schema)
+
+    return rows.repartition("bucket").mapInArrow(run, schema)

@@ -7,7 +7,7 @@ same document, earlier start). Words that a repeated window covers are removed;
    have equal anchors. Anchors are counted over all documents in buckets of the hash space; what recurs within a
    batch is known there and goes out once, so a very common passage costs a row per batch.
 2. Automata. Documents with recurring phrases are dealt over ranges of their ids. Each range is a shard: its phrases are
-   compiled to an Aho-Corasick automaton, and all its documents are streamed through it to find every occurrence.
+   compiled to Aho-Corasick automata, and all its documents are streamed through them to find every occurrence.
    Windows with an occurrence are candidates; within the shard, all but the first of equal ones are repeated.
 3. First occurrences. Each shard sends one hash per distinct candidate window; the smallest shard that has it keeps it,
    in all others it is repeated (ranges are ascending, so this is document order). A window thus costs a row per shard.
@@ -15,20 +15,24 @@ same document, earlier start). Words that a repeated window covers are removed;
 
 Windows are compared by 64-bit hashes of their words after the automaton has confirmed the phrase within the shard.
 
-Defined results: null text has no words; rows with null ids come first; rows with equal ids are ordered by text, and
+Shards are cut by the number of rows; their bounds come from percentiles of percentiles, one id for ``SHARD_BYTES`` of text.
+
+Defined results: null text has no words; rows with null ids come first (among ids below ``NULL_ID`` + 2^56, by place); rows with equal ids are ordered by text, and
 equal rows count as following each other; texts of fewer words than a window are kept; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm import blobs, common, wordhash
@@ -37,12 +41,17 @@ WINDOW = 20
 PHRASE = 8
 SHARD_BYTES = 8 << 20
 LEAST_SHARDS = 64
+#: Phrases of one automaton; a shard with more streams its documents through several, one after another, so that memory is bounded.
+PHRASES_AT_ONCE = 25_000
 BUCKET_ANCHORS = 1_000_000
 #: Bytes of text for an anchor, roughly; only sizes the buckets.
 BYTES_PER_ANCHOR = 40
 BROADCAST_IDS = 500_000
-#: Where rows with null ids are dealt.
+#: Bytes of ids that a worker makes distinct at once.
+STEP_BYTES = 8 << 20
+#: Rows with null ids are dealt from here on, by the first bytes of their texts.
 NULL_ID = -(1 << 63)
+NULL_BYTES = 7
 ANSWER = "shard int, owner binary, place binary"
 
 
@@ -71,9 +80,35 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((wordhash.mix(hashes) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def recurring_anchors(rows: DataFrame, bounds: np.ndarray, buckets: int, window: int, phrase: int) -> DataFrame:
+def document_order(id_col: str, text_col: str) -> Column:
+    """The id; in place of a null one a number from NULL_ID on that rises with the text, so that such rows need not lie in one shard."""
+    head = F.hex(F.substring(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8"), 1, NULL_BYTES))
+    made = F.lit(NULL_ID) + F.conv(F.rpad(head, 2 * NULL_BYTES, "0"), 16, 10).cast("long")
+    return F.coalesce(F.col(id_col).cast("long"), made)
+
+
+def shard_bounds(rows: DataFrame, shards: int) -> np.ndarray:
+    """Keys that begin the shards 1, 2, ...: percentiles within ranges that are percentiles themselves, so no plan or task holds more than a root of them."""
+    parts = lambda n: [i / n for i in range(1, n)]
+    outer = math.isqrt(shards)
+    cuts = rows.agg(F.percentile_approx("key", parts(outer), 100 * outer).alias("c")).first().c
+    first = np.unique(np.array(cuts or [], np.int64))
+    inner = -(-shards // outer)
+    sent = rows.sparkSession.sparkContext.broadcast(first)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_pydict({"range": pa.array(np.searchsorted(sent.value, key, "right"), pa.int32()), "key": batch.column(0)})
+
+    within = rows.select("key").mapInArrow(ranges, "range int, key long").groupBy("range").agg(F.percentile_approx("key", parts(inner), 100 * inner).alias("c"))
+    return np.unique(np.concatenate([first, *(np.array(r.c, np.int64) for r in within.select("c").toLocalIterator())]))
+
+
+def recurring_anchors(rows: DataFrame, bounds: Broadcast, buckets: int, window: int, phrase: int) -> DataFrame:
     """ANSWER rows: by shard, the ids and word places of anchors that occur again somewhere."""
     sent = "bucket int, single binary, owner binary, place binary, multi binary, again_owner binary, again_place binary"
+    coarse = min(buckets, blobs.MOST_BUCKETS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,12 +122,12 @@ def recurring_anchors(rows: DataFrame, bounds: np.ndarray, buckets: int, window:
             unique, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
             again = count[back] > 1
             multi = unique[count > 1]
-            order, cuts = blobs.split(_bucket(hashes[~again], buckets), buckets)
-            a_order, a_cuts = blobs.split(_bucket(hashes[again], buckets), buckets)
-            m_order, m_cuts = blobs.split(_bucket(multi, buckets), buckets)
+            order, cuts = blobs.split(_bucket(hashes[~again], buckets) % coarse, coarse)
+            a_order, a_cuts = blobs.split(_bucket(hashes[again], buckets) % coarse, coarse)
+            m_order, m_cuts = blobs.split(_bucket(multi, buckets) % coarse, coarse)
             rows = blobs.table(
                 {
-                    "bucket": np.arange(buckets), "single": blobs.to_blobs(hashes[~again][order], cuts), "owner": blobs.to_blobs(owner[~again][order], cuts),
+                    "bucket": np.arange(coarse), "single": blobs.to_blobs(hashes[~again][order], cuts), "owner": blobs.to_blobs(owner[~again][order], cuts),
                     "place": blobs.to_blobs(place[~again][order], cuts), "multi": blobs.to_blobs(multi[m_order], m_cuts),
                     "again_owner": blobs.to_blobs(owner[again][a_order], a_cuts), "again_place": blobs.to_blobs(place[again][a_order], a_cuts),
                 },
@@ -107,13 +142,17 @@ def recurring_anchors(rows: DataFrame, bounds: np.ndarray, buckets: int, window:
         unique, back, n = np.unique(single, return_inverse=True, return_counts=True)
         again = ((n > 1) | np.isin(unique, multi))[back]
         owner, place = np.concatenate([owner[again], more_owner]), np.concatenate([place[again], more_place])
-        shard = np.searchsorted(bounds, owner, "right")
+        shard = np.searchsorted(bounds.value, owner, "right")
         order = np.lexsort((place, owner, shard))
         shards = np.unique(shard)
         cuts = np.append(np.searchsorted(shard[order], shards), len(shard))
         return pa.Table.from_batches([blobs.table({"shard": shards, "owner": blobs.to_blobs(owner[order], cuts), "place": blobs.to_blobs(place[order], cuts)}, ANSWER)])
 
-    return rows.select("key", "text").mapInArrow(emit, sent).groupBy("bucket").applyInArrow(count, ANSWER)
+    found = rows.select("key", "text").mapInArrow(emit, sent)
+    if buckets > coarse:
+        hashed = [("single:<u8", "owner:<i8", "place:<i4"), ("multi:<u8",)]
+        found = blobs.refined(found, sent, lambda hashes: _bucket(hashes, buckets), hashed, ("again_owner:<i8", "again_place:<i4"))
+    return found.groupBy("bucket").applyInArrow(count, ANSWER)
 
 
 def normal_form(text: bytes) -> tuple[str, np.ndarray]:
@@ -171,18 +210,27 @@ def located(docs: DataFrame, answers: DataFrame, buckets: int, window: int, phra
             p = place[a:b]
             p = p[p + phrase <= len(starts)]
             phrases.update(text[s - 1 : e] for s, e in zip(starts[p].tolist(), ends[p + phrase].tolist(), strict=True))
-        automaton = shard_automaton(sorted(phrases)) if phrases else None
         n_words = np.array([len(s) if len(t) > 2 else 0 for t, s in forms], np.int64)
         first = np.concatenate([[0], np.cumsum(n_words)])
+        ordered = sorted(phrases)
+        del phrases
+        begins: list[list[np.ndarray]] = [[] for _ in forms]
+        for k in range(0, len(ordered), PHRASES_AT_ONCE):
+            automaton = shard_automaton(ordered[k : k + PHRASES_AT_ONCE])
+            for i in np.flatnonzero(n_words >= window).tolist():
+                if len(p := occurrences(automaton, *forms[i])):
+                    begins[i].append(p.astype(np.int32))
+            del automaton
         windows = []
-        for i, (text, starts) in enumerate(forms):
-            if automaton is None or n_words[i] < window:
+        for i, found in enumerate(begins):
+            if not found:
                 continue
-            p = occurrences(automaton, text, starts)
+            p = np.concatenate(found).astype(np.int64)
             marks = np.zeros(n_words[i] - window + 2, np.int32)
             np.add.at(marks, np.maximum(p - (window - phrase), 0), 1)
             np.add.at(marks, np.minimum(p + 1, len(marks) - 1), -1)
             windows.append(first[i] + np.flatnonzero(np.cumsum(marks)[:-1] > 0))
+        del begins
         at = np.concatenate(windows) if windows else np.zeros(0, np.int64)
         hashes, base = np.zeros(len(at), np.uint64), 0
         for _, step in wordhash.steps(pa.array(texts, pa.large_string())):
@@ -242,21 +290,25 @@ def dedup_passages(
     """
     keep = keep or []
     named = {c: f"keep_{i}" for i, c in enumerate(keep)}
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID).cast("long"))
-    rows = docs.select(F.col(id_col).alias("keep_id"), key.alias("key"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in named.items()])
+    rows = docs.select(F.col(id_col).alias("keep_id"), document_order(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in named.items()])
     held = ["keep_id", *named.values()]
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    sums = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count_if(F.col("keep_id").isNull()).alias("nameless")).first()
+    total = sums.b
     shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
-    cuts = rows.agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], 100 * shards).alias("c")).first().c
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    keys = rows.select("key") if sums.nameless else docs.select(F.col(id_col).cast("long").alias("key"))  # ids alone need no texts
+    bounds = docs.sparkSession.sparkContext.broadcast(shard_bounds(keys, shards))
     buckets = max(32, -(-total // (BYTES_PER_ANCHOR * BUCKET_ANCHORS)))
     answers = common.scratch(recurring_anchors(rows, bounds, buckets, window, phrase), "substring-anchors")
 
     def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blobs.pieces(whole, 1, STEP_BYTES)):
             owner, at = blobs.from_blobs(batch.column(1), "<i8")
-            both = np.unique(np.stack([np.repeat(batch.column(0).to_numpy(), np.diff(at)), owner]), axis=1)
-            yield blobs.table({"shard": both[0], "c_key": both[1]}, "shard int, c_key long")
+            shard = np.repeat(batch.column(0).to_numpy(), np.diff(at))
+            order = np.lexsort((owner, shard))
+            owner, shard = owner[order], shard[order]
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])
+            yield blobs.table({"shard": shard[new], "c_key": owner[new]}, "shard int, c_key long")
 
     ids = common.scratch(answers.select("shard", "owner").mapInArrow(owners, "shard int, c_key long").distinct(), "substring-ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
