@@ -45,6 +45,8 @@ LEAST = 75
 BUCKET_TOKENS = 2_000_000
 LEAST_BUCKETS = 32
 BLOCK_ROWS = 256
+#: Bytes of sets that a worker orders at once.
+STEP_BYTES = 8 << 20
 LEVELS = 3
 #: Rounds of step 4, and pairs of two components that each tries.
 STAR_ROUNDS = 2
@@ -110,6 +112,7 @@ def document_heads(docs: DataFrame, id_col: str, text_col: str, words: int, leas
 def recurring_in_prefix(heads: DataFrame, buckets: int) -> DataFrame:
     """(id, shared): how many of a prefix's shingles occur in another document's prefix; ids with none are left out."""
     sent = "bucket int, single binary, owner binary, multi binary, direct binary, counts binary"
+    coarse = min(buckets, blobs.MOST_BUCKETS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, batch in enumerate(batches):
@@ -121,13 +124,13 @@ def recurring_in_prefix(heads: DataFrame, buckets: int) -> DataFrame:
             shared = np.bincount(row[again], minlength=len(ids))
             some = np.flatnonzero(shared)
             single, owner, multi = tokens[~again], ids[row[~again]], unique[count > 1]
-            order, cuts = blobs.split(_bucket(single, buckets), buckets)
-            m_order, m_cuts = blobs.split(_bucket(multi, buckets), buckets)
-            here = np.zeros(buckets + 1, np.int64)
-            here[(turn * 7919 + int(tokens[0] % 1009 if len(tokens) else 0)) % buckets + 1 :] = len(some)
+            order, cuts = blobs.split(_bucket(single, buckets) % coarse, coarse)
+            m_order, m_cuts = blobs.split(_bucket(multi, buckets) % coarse, coarse)
+            here = np.zeros(coarse + 1, np.int64)
+            here[(turn * 7919 + int(tokens[0] % 1009 if len(tokens) else 0)) % coarse + 1 :] = len(some)
             rows = blobs.table(
                 {
-                    "bucket": np.arange(buckets), "single": blobs.to_blobs(single[order], cuts), "owner": blobs.to_blobs(owner[order], cuts),
+                    "bucket": np.arange(coarse), "single": blobs.to_blobs(single[order], cuts), "owner": blobs.to_blobs(owner[order], cuts),
                     "multi": blobs.to_blobs(multi[m_order], m_cuts), "direct": blobs.to_blobs(ids[some], here), "counts": blobs.to_blobs(shared[some], here),
                 },
                 sent,
@@ -141,7 +144,10 @@ def recurring_in_prefix(heads: DataFrame, buckets: int) -> DataFrame:
         owners, shared = np.unique(owner[again[back]], return_counts=True)
         return pa.table({"id": pa.array(np.concatenate([owners, direct]), pa.int64()), "shared": pa.array(np.concatenate([shared, counts]), pa.int64())})
 
-    found = heads.where("n > 0").select("id", "prefix").mapInArrow(emit, sent).groupBy("bucket").applyInArrow(count, "id long, shared long")
+    found = heads.where("n > 0").select("id", "prefix").mapInArrow(emit, sent)
+    if buckets > coarse:
+        found = blobs.refined(found, sent, lambda tokens: _bucket(tokens, buckets), [("single:<u8", "owner:<i8"), ("multi:<u8",)], ("direct:<i8", "counts:<i8"))
+    found = found.groupBy("bucket").applyInArrow(count, "id long, shared long")
     return found.groupBy("id").agg(F.sum("shared").alias("shared"))
 
 
@@ -183,7 +189,7 @@ def ordered_members(sets: DataFrame, chunks: int, buckets: int, least: int) -> D
     answer = "chunk int, tokens binary, df binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blobs.pieces(whole, 1, STEP_BYTES)):
             chunk = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             tokens, bounds = blobs.from_blobs(batch.column(1), "<u8")
             of = np.repeat(chunk, np.diff(bounds))
