@@ -285,3 +285,17 @@ def test_passages_of_rows_without_ids_and_of_many_shards(spark, monkeypatch):
     bounds = substring.shard_bounds(spark.range(0, 5000).select(F.col("id").alias("key")), 100)
     sizes = np.diff(np.searchsorted(bounds, np.arange(5000), "right").searchsorted(np.arange(len(bounds) + 2)))
     assert len(bounds) >= 95 and sizes.max() <= 75
+
+
+def test_many_buckets_are_refined(spark, monkeypatch):
+    """Coarse buckets that are divided once more give the same results."""
+    from broadsheet.llm import blobs, jaccard, substring
+
+    docs = [(i, t) for i, (_, t) in enumerate(_family(40, 1, words=60, edits=(0, 1, 2, 3)) + _family(30, 2, words=25, edits=(0, 1)))] + [(900, ""), (901, None), (902, "one")]
+    frame = spark.createDataFrame(docs, DOC).repartition(3)
+    monkeypatch.setattr(blobs, "MOST_BUCKETS", 3)
+    monkeypatch.setattr(jaccard, "BUCKET_TOKENS", 20)
+    monkeypatch.setattr(substring, "BUCKET_ANCHORS", 2)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_documents(frame).collect()} == brute.jaccard(docs)
+    want = {i: (n, n - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()) for i, n, kept in brute.passages(docs)}
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring.dedup_passages(frame).collect()} == want
