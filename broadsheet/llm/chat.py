@@ -60,6 +60,8 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 LAYOUTS = (
     Layout("turn_row", ("role", "text", "turn"), (Turn(("text",), role_at="role"),)),
+    Layout("content_row", ("content", "role", "turn"), (Turn(("content",), role_at="role"),)),
+    Layout("value_row", ("from", "turn", "value"), (Turn(("value",), role_at="from"),)),
     Layout("messages", ("messages", "messages[].content", "messages[].role"), (Turn(("content",), role_at="role"),), each="messages", roles=ROLES),
     Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), (Turn(("value",), role_at="from"),), each="conversations", roles=ROLES),
     Layout(
