@@ -12,7 +12,7 @@ import pyarrow as pa
 
 #: The library's numbers of its settings for the trim and the page threshold.
 TRIM, PAGES = -1, -3
-BLOCK = 1 << 18
+BLOCK = 4 << 20
 
 
 def give_back() -> None:
