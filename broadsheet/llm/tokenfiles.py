@@ -39,7 +39,7 @@ PAD = int(COUNTS[0])
 #: Bytes of text in a part, from which on there are more parts than the session's shuffle partitions.
 PART_BYTES = 256 << 20
 #: Characters of a text by which rows of one id are dealt to parts; within a part whole texts are compared.
-TIE_CHARS = 200
+TIE_CHARS = 32
 FILE_SCHEMA = "part int, segment int, n_docs int, n_ids long, data binary"
 
 
