@@ -7,14 +7,17 @@ vector's residual is coded by the nearest of 256 codes in each subspace, and the
 Nothing that links can be lost:
 * A query probes a list unless the bisector between the list's centroid and another centroid proves that the
   list's cell is farther than ``reach`` from it.
+* Of two vectors, the inner product of the parts on the sample's ``SCREEN`` main axes plus the product of the lengths of what is left
+  is at least their cosine (Cauchy and Schwarz); pairs whose sum stays below ``least`` are not looked up. One matrix product does that.
 * The distance from a query to a coded vector comes from lookup tables (query against codes, uncompressed); a pair goes on
   unless that distance less the vector's coding error is above ``reach``.
 * What goes on is decided by the exact cosine in double precision.
 
 Centroids and codes are fitted on ``SAMPLE`` vectors at most (those with the smallest hashed ids); every vector is indexed. Lists are
 dealt over groups of about ``GROUP_ROWS`` vectors: small lists share one, a larger list is divided by the hash of the ids. A query
-goes once to each group that holds a part of a list that it probes, and only to lists not below its own, as a pair is
-found from one side.
+goes once to each group that holds a part of a list that it probes, and only to the half of the lists that follow its own in a
+circle, as a pair is found from one side and all groups get the same share. Vectors travel packed, many to a row; a group is
+indexed once, and its queries stream through it.
 
 Lengths of vectors fall into classes by powers of two, at most 31; within a class the shorter ones are filled up with zeros, which changes
 no cosine, and only pairs of equal lengths count.
@@ -40,11 +43,20 @@ SAMPLE = 16_384
 MOST_LISTS = 4096
 SUBSPACES = 8
 CODES = 256
-GROUP_ROWS = 4096
+GROUP_ROWS = 32_768
+#: Bytes of a group's vectors, at most.
+GROUP_BYTES = 64 << 20
 LEAST_GROUPS = 12
 ROUNDS = 8
-TILE = 512
+#: Main axes that pairs are screened on; queries and vectors of a block; vectors dealt at once; pairs looked up at once; links kept until they are united.
+SCREEN = 16
+TILE, BLOCK = 512, 1024
+CHUNK = 2048
+PAIRS = 65_536
+MOST_KEPT = 1 << 20
 EPS = 1e-6
+#: More than single precision can err in a screened sum.
+SLACK = 1e-5
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -72,7 +84,9 @@ class Quantiser:
     """Centroids of the lists and codes of the subspaces, fitted on a sample of unit vectors."""
 
     def __init__(self, sample: np.ndarray, lists: int, least: float):
+        self.least = least
         self.reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + EPS
+        self.axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1][:, :SCREEN]
         centres = kmeans(sample, min(lists, len(sample)), 1)
         # Lists that are near each other get near numbers, and so fall into the same group.
         axis = np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
@@ -99,7 +113,7 @@ class Quantiser:
         """Which lists (columns) each vector must look into."""
         d = np.maximum((x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T, 0)
         must = np.ones(d.shape, bool)
-        near = np.argsort(d, 1)[:, :4]
+        near = np.argpartition(d, 3, axis=1)[:, :4] if d.shape[1] > 4 else np.tile(np.arange(d.shape[1]), (len(x), 1))
         for k in range(near.shape[1]):
             other = near[:, k]
             gap = self.gaps[other]
@@ -107,6 +121,11 @@ class Quantiser:
             must &= ~((gap > 0) & (beyond > self.reach))
         return must
 
+    def screen(self, x: np.ndarray) -> np.ndarray:
+        """Places on the main axes, and the length of the rest."""
+        s = x @ self.axes
+        return np.concatenate([s, np.sqrt(np.maximum(1 - (s * s).sum(1), 0))[:, None]], 1).astype(np.float32)
+
     def tables(self, x: np.ndarray) -> np.ndarray:
         """Inner products of queries with all codes: (subspace, code, query)."""
         out = np.zeros((len(self.parts), max(map(len, self.codes)), len(x)), np.float32)
@@ -161,6 +180,95 @@ def layout(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
+def _follows(a: np.ndarray, b: np.ndarray, lists: int) -> np.ndarray:
+    """Whether list b is in the half of the circle that begins at list a; of two lists one at least follows the other."""
+    return (b - a) % lists <= lists // 2
+
+
+def _packed(place: int, asks: bool, ids: np.ndarray, own: np.ndarray, many: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> tuple:
+    """Vectors as one row of PACKED; in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        short = raw.astype(np.float32)
+    narrow = bool((short == raw).all())
+    return (place, asks, narrow, *(np.ascontiguousarray(c).tobytes() for c in (ids, own, many, sizes, short if narrow else raw)))
+
+
+PACKED = "place int, asks boolean, narrow boolean, ids binary, own binary, many binary, sizes binary, v binary"
+
+
+def _unpacked(batch: pa.RecordBatch, i: int, dims: int) -> tuple[np.ndarray, ...]:
+    got = [np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in range(3, 7)]
+    return (*got, np.frombuffer(batch.column(7)[i].as_buffer(), np.float32 if batch.column(2)[i].as_py() else np.float64).reshape(-1, dims))
+
+
+class _Group:
+    """The vectors of a group, indexed; ``ask`` finds the links of queries with them."""
+
+    def __init__(self, q: Quantiser, held: list[tuple[np.ndarray, ...]]):
+        ids, own, many, sizes, raw = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(own, kind="stable")
+        self.q, self.ids, self.own, self.many, self.sizes, self.raw = q, ids[order], own[order], many[order], sizes[order], raw[order]
+        self.lists, self.at = np.unique(self.own, return_inverse=True)
+        self.screened = np.zeros((len(ids), q.axes.shape[1] + 1), np.float32)
+        self.codes, self.error, self.fixed = np.zeros((len(ids), len(q.parts)), np.uint8), np.zeros(len(ids)), np.zeros(len(ids))
+        for i in range(0, len(ids), CHUNK):
+            at, x = slice(i, i + CHUNK), _unit(self.raw[i : i + CHUNK].astype(np.float64))
+            self.screened[at] = q.screen(x)
+            self.codes[at], self.error[at], self.fixed[at] = q.encode(x, self.own[at])
+        self.root, self.k = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+
+    def ask(self, ids: np.ndarray, own: np.ndarray, many: np.ndarray, sizes: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+        """Queries that link, as (id, k, other); what their links mean for the group's own vectors is kept for ``end``."""
+        order = np.argsort(own, kind="stable")
+        ids, own, many, sizes, raw = ids[order], own[order], many[order], sizes[order], raw[order].astype(np.float64)
+        n, q, lists = len(self.ids), self.q, len(self.q.centres)
+        # Nodes: the group's vectors, then the queries.
+        root, k = np.concatenate([self.root, n + np.arange(len(ids))]), np.zeros(len(ids), np.int64)
+        kept, n_kept = [], 0
+        for i in range(0, len(ids), TILE):
+            x, at = _unit(raw[i : i + TILE]), own[i : i + TILE]
+            far = np.maximum((x**2).sum(1)[:, None] + (q.centres[self.lists] ** 2).sum(1) - 2 * x @ q.centres[self.lists].T, 0)
+            home = ((x - q.centres[at]) ** 2).sum(1)
+            gap = q.gaps[at[:, None], self.lists]
+            must = _follows(at[:, None], self.lists, lists) & ~((gap > 0) & (far - home[:, None] > 2 * gap * q.reach))
+            some = must.any(0)
+            if not some.any():
+                continue
+            members = np.arange(n) if some.all() else np.flatnonzero(some[self.at])
+            screened, tables = q.screen(x), q.tables(x)
+            for j in range(0, len(members), BLOCK):
+                block = members[j : j + BLOCK]
+                row, col = np.divmod(np.flatnonzero(screened @ self.screened[block].T >= q.least - SLACK), len(block))
+                for p in range(0, len(row), PAIRS):
+                    a, b = row[p : p + PAIRS], block[col[p : p + PAIRS]]
+                    go = must[a, self.at[b]] & (sizes[i + a] == self.sizes[b]) & (~_follows(self.own[b], at[a], lists) | (ids[i + a] < self.ids[b]))
+                    a, b = a[go], b[go]
+                    dot = sum(tables[s][self.codes[b, s], a] for s in range(len(q.parts)))
+                    go = far[a, self.at[b]] - 2 * dot + self.fixed[b] <= (q.reach + self.error[b]) ** 2 + 1e-4
+                    a, b = i + a[go], b[go]
+                    go = _cosines(raw[a], self.raw[b].astype(np.float64)) >= q.least
+                    a, b = a[go], b[go]
+                    np.add.at(k, a, self.many[b])
+                    np.add.at(self.k, b, many[a])
+                    kept.append((a + n, b))
+                    n_kept += len(a)
+                    if n_kept > MOST_KEPT:
+                        root, kept, n_kept = _unite(root, *map(np.concatenate, zip(*kept, strict=True))), [], 0
+        if n_kept:
+            root = _unite(root, *map(np.concatenate, zip(*kept, strict=True)))
+        # A vector of the group has a smaller number than any query, and so is the root of what it links with.
+        self.root = root[:n]
+        some = np.flatnonzero(k)
+        return self._rows(ids[some], k[some], root[n + some])
+
+    def _rows(self, ids: np.ndarray, k: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "k": pa.array(k, pa.int64()), "other": pa.array(self.ids[root], pa.int64())})
+
+    def end(self) -> pa.RecordBatch:
+        some = np.flatnonzero(self.k)
+        return self._rows(self.ids[some], self.k[some], self.root[some])
+
+
 def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
     """(id, k, other) for classes (id, v, m) of vectors of at most ``dims`` components.
 
@@ -184,71 +292,52 @@ def _links(classes: DataFrame, dims: int, least: float) -> DataFrame:
     held_by = np.zeros(lists, np.int64)
     for r in classes.select("v").mapInArrow(count_lists, "list int, k long").groupBy("list").agg(F.sum("k").alias("k")).collect():  # a row a list
         held_by[r.list] = r.k
-    first, parts = layout(held_by, max(256, min(GROUP_ROWS, -(-n // LEAST_GROUPS))))
-    sent = spark.sparkContext.broadcast((quantiser, first, parts))
-    schema = "place int, asks boolean, id long, list int, v array<double>, m long"
+    first, parts = layout(held_by, max(256, min(GROUP_ROWS, GROUP_BYTES // (8 * dims), -(-n // LEAST_GROUPS))))
+    places = int((first + parts).max())
+    sent = spark.sparkContext.broadcast((first, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, first, parts = sent.value
+        q, (first, parts) = fitted.value, sent.value
+        # Lists that share their first group are neighbours; its probes go to as many groups as the largest of them has.
+        starts = np.flatnonzero(np.diff(first, prepend=-1))
+        widths = np.maximum.reduceat(parts, starts)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                x = _unit(_matrix(part.column(1), dims)[0])
+            for i in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(i, CHUNK)
+                raw, sizes = _matrix(part.column(1), dims)
+                x = _unit(raw)
                 at = _nearest(x, q.centres)
-                drawn = (wordhash.mix(part.column(0).to_numpy().astype(np.int64).view(np.uint64)) >> np.uint64(33)).astype(np.int64)
-                row, to = np.nonzero(q.probes(x) & (np.arange(lists) >= at[:, None]))
-                both = np.unique(np.stack([np.repeat(row, parts[to]), wordhash.ragged(first[to], parts[to])]), axis=1)
-                row, place = np.concatenate([np.arange(len(x)), both[0]]), np.concatenate([first[at] + drawn % parts[at], both[1]])
-                asks = np.arange(len(row)) >= len(x)
-                take = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(place, pa.int32()), pa.array(asks), take.column(0), pa.array(at[row], pa.int32()), take.column(1), take.column(2)], names=["place", "asks", "id", "list", "v", "m"]
-                )
-
-    def search(table: pa.Table) -> pa.Table:
-        q = sent.value[0]
-        ids, asks, own = table.column("id").to_numpy(), table.column("asks").to_numpy(), table.column("list").to_numpy()
-        raw, length = _matrix(table.column("v"), dims)
-        unit = _unit(raw) if len(raw) else raw
-        held = np.flatnonzero(~asks)
-        at = own[held]
-        codes, error, fixed = q.encode(unit[held], at)
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(lists + 1))
-        names, node = np.unique(ids, return_inverse=True)
-        many = np.zeros(len(names), np.int64)
-        many[node] = table.column("m").to_numpy()
-        root, k_sum = np.arange(len(names)), np.zeros(len(names), np.int64)
-        queries = np.flatnonzero(asks)
-        for i in range(0, len(queries), TILE):
-            rows = queries[i : i + TILE]
-            x = unit[rows]
-            must = q.probes(x) & (np.arange(lists) >= own[rows][:, None])
-            tables = q.tables(x)
-            far = ((x[:, None, :] - q.centres[None, :, :]) ** 2).sum(-1) if lists * len(x) < 1 << 15 else (x**2).sum(1)[:, None] + (q.centres**2).sum(1) - 2 * x @ q.centres.T
-            found_a, found_b = [], []
-            for c in np.flatnonzero(must.any(0) & (np.diff(cuts) > 0)).tolist():
-                asking, members = np.flatnonzero(must[:, c]), order[cuts[c] : cuts[c + 1]]
-                dot = sum(tables[s][codes[members, s]][:, asking] for s in range(len(q.parts)))
-                square = far[asking, c][None, :] - 2 * dot + fixed[members][:, None]
-                most = (q.reach + error[members]) ** 2 + 1e-4
-                m, k = np.nonzero(square <= most[:, None])
-                found_a.append(rows[asking[k]])
-                found_b.append(held[members[m]])
-            a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-            b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-            once = ((own[a] < own[b]) | (ids[a] < ids[b])) & (length[a] == length[b])
-            a, b = a[once], b[once]
-            exact = np.concatenate([_cosines(raw[a[k : k + 65536]], raw[b[k : k + 65536]]) for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
-            a, b = node[a[exact >= least]], node[b[exact >= least]]
-            np.add.at(k_sum, a, many[b])
-            np.add.at(k_sum, b, many[a])
-            root = _unite(root, a, b)
-        some = np.flatnonzero(k_sum)
-        return pa.table({"id": pa.array(names[some], pa.int64()), "k": pa.array(k_sum[some], pa.int64()), "other": pa.array(names[root[some]], pa.int64())})
-
-    dealt = classes.select("id", "v", "m").mapInArrow(deal, schema)
-    return dealt.groupBy("place").applyInArrow(search, "id long, k long, other long")
+                ids, many = (part.column(c).to_numpy().astype(np.int64) for c in (0, 2))
+                drawn = (wordhash.mix(ids.view(np.uint64)) >> np.uint64(33)).astype(np.int64)
+                own = first[at] + drawn % parts[at]
+                must = np.logical_or.reduceat(q.probes(x) & _follows(at[:, None], np.arange(lists), lists), starts, axis=1)
+                held = [(p, False, np.flatnonzero(own == p)) for p in np.unique(own).tolist()]
+                asked = [(f + w, True, np.flatnonzero(must[:, g])) for g, (f, k) in enumerate(zip(first[starts].tolist(), widths.tolist(), strict=True)) for w in range(k)]
+                for place, asks, rows in held + asked:
+                    if len(rows):
+                        row = _packed(place, asks, ids[rows], at[rows], many[rows], sizes[rows], raw[rows])
+                        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, [pa.int32(), pa.bool_(), pa.bool_(), *[pa.binary()] * 5], strict=True)], names=[f.split()[0] for f in PACKED.split(", ")])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, group = None, [], None
+        for batch in batches:
+            for i, (p, asks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if p != place:
+                    if group:
+                        yield group.end()
+                    place, held, group = p, [], None
+                rows = _unpacked(batch, i, dims)
+                if not asks:
+                    held.append(tuple(c.copy() for c in rows))
+                elif held or group:
+                    if group is None:
+                        group, held = _Group(fitted.value, held), []
+                    yield group.ask(*rows)
+        if group:
+            yield group.end()
+
+    dealt = classes.select("id", "v", "m").mapInArrow(deal, PACKED)
+    return dealt.repartitionById(places, "place").sortWithinPartitions("place", "asks").mapInArrow(search, "id long, k long, other long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:

@@ -159,6 +159,39 @@ def test_near_duplicates_divide_a_large_list(spark, monkeypatch):
     assert {g.vec_id: g.component_id for g in got} == names
 
 
+def test_near_duplicates_screen_pairs_before_they_are_looked_up(monkeypatch):
+    from broadsheet.llm import neardup
+
+    for name, least in (("TILE", 32), ("BLOCK", 16), ("PAIRS", 8), ("MOST_KEPT", 4)):
+        monkeypatch.setattr(neardup, name, least)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 64))
+    x = np.concatenate([x, x[:60] + r.normal(size=(60, 64)) * 0.25, x[:9] * 3 + 1e-9]).astype(np.float32).astype(np.float64)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    q = neardup.Quantiser(unit, 24, 0.95)
+    cosine, screened = unit @ unit.T, q.screen(unit) @ q.screen(unit).T
+    assert (screened >= cosine - neardup.SLACK).all() and (screened >= 0.95 - neardup.SLACK).mean() < 0.02
+    at, n = neardup._nearest(unit, q.centres), len(x)
+    follows = neardup._follows(at[:, None], at, len(q.centres))
+    assert (follows | follows.T).all() and follows.mean() < 0.65  # each pair is found from one side, groups get equal shares
+    ids = r.permutation(n).astype(np.int64)
+    rows = (ids, at, np.ones(n, np.int64), np.full(n, 64), x)
+    group, count, links = neardup._Group(q, [tuple(c[k::2] for c in rows) for k in range(2)]), Counter(), []
+    for k in range(5):  # queries come in several rows
+        part = neardup._packed(7, True, *(c[k::5] for c in rows))
+        assert part[2]  # single precision loses nothing here
+        batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array([c]) for c in part], names=[f.split()[0] for f in neardup.PACKED.split(", ")])
+        for got in (group.ask(*neardup._unpacked(batch, 0, 64)), *([group.end()] if k == 4 else [])):
+            for row in got.to_pylist():
+                count[row["id"]] += row["k"]
+                links.append((row["id"], row["other"]))
+    linked = cosine >= 0.95
+    np.fill_diagonal(linked, False)
+    assert {int(i): count[int(i)] for i in ids} == dict(zip(ids.tolist(), linked.sum(1).tolist(), strict=True)) and linked.any()
+    want = [(int(ids[a]), int(ids[b])) for a, b in np.argwhere(linked)]
+    assert brute.components(sorted(ids.tolist()), links) == brute.components(sorted(ids.tolist()), want)
+
+
 def test_top_k_of_repeated_and_wide_rows(spark):
     from broadsheet.llm.topk import top_k
 
