@@ -1,7 +1,8 @@
 """Let a Python worker give memory back: large blocks get pages of their own, which go when the block goes.
 
 By default the C library raises that size with each block that is freed, and Arrow keeps its own pool; a worker that lives
-through many stages then holds what its largest one needed. Where the C library has no such setting, nothing changes.
+through many stages then holds what its largest one needed. Smaller free blocks go by ``trim``, which is called after each batch
+of texts. Where the C library has no such settings, nothing changes.
 """
 
 from __future__ import annotations
@@ -24,4 +25,11 @@ def give_back() -> None:
         mallopt(TRIM, 4 * BLOCK)
 
 
+def trim() -> None:
+    """Give every free page of the process back, also those between blocks in use."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 give_back()

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm import tokens, wordhash
+from broadsheet.llm import memory, tokens, wordhash
 
 WINDOW = 2048
 MOST_OPEN = 4096
@@ -140,13 +140,16 @@ def pack_documents(
         packer = Packer(window, base=TaskContext.get().partitionId() << NUMBER_BITS)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for row, texts in wordhash.steps(batch.column(1), tokens.STEP_BYTES):
+            # Steps of 1 MB: those of 2 MB took twice the room in a worker, and tables of powers twice as long.
+            for row, texts in wordhash.steps(batch.column(1)):
                 ids, at = encoder.with_end(texts, end_id)
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     packer.add(keys[row + k], ids[a:b])
                 yield packer.take()
         packer.end()
         yield packer.take()
+        del packer
+        memory.trim()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

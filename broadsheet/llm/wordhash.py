@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from broadsheet.llm import memory  # noqa: F401 - acts by its import, in every worker that looks at texts
+from broadsheet.llm import memory  # its import acts too, in every worker that looks at texts
 
 _MASK = (1 << 64) - 1
 #: Bytes of text that one vectorised step looks at; a single longer text is a step of its own.
@@ -151,6 +151,7 @@ def steps(column: pa.Array, step_bytes: int = STEP_BYTES):
         stop = min(max(stop, row + 1), n)
         yield row, Texts(buf[bounds[row] : bounds[stop]], bounds[row : stop + 1] - bounds[row])
         row = stop
+    memory.trim()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

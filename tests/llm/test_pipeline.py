@@ -227,3 +227,29 @@ def test_empty_tables(spark, folder, docs):
         assert stage(spark, none, folder).count() == 0
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_duplicates", "passages", "mix", "pack"]
     assert np.isclose(pipeline.TOXIC, 0.5)
+
+
+def test_workers_give_small_blocks_back():
+    """What a stage has freed between blocks that stay goes back after a batch of texts."""
+    import ctypes
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("the C library has no malloc_trim")
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from broadsheet.llm import wordhash
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+blocks = [np.ones(4096) for _ in range(4000)]
+kept = blocks[::50] + blocks[-1:]
+del blocks
+before = held()
+list(wordhash.steps(pa.array(["a text", "another"])))
+print(before - held())
+"""
+    root = Path(__file__).resolve().parents[2]
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=60, check=True)
+    assert int(got.stdout) > 60, got.stdout  # of 122 MB
