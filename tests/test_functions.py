@@ -1,5 +1,6 @@
 """Edge cases of the scalar functions."""
 
+import base64
 import html
 import re
 from urllib.parse import parse_qsl, urlencode, urlsplit
@@ -83,3 +84,8 @@ def test_scores(spark):
     assert [r.o for r in rows.select(T.overlap(F.col("a"), F.col("b")).alias("o")).collect()] == [0.5, 0.0]
     assert values(spark, T.clamp, [-1.0, 0.4, 7.0], "double") == [0.0, 0.4, 1.0]
     assert values(spark, T.html_escape, ["<a href=\"x\">'&"]) == [html.escape("<a href=\"x\">'&", quote=True)]
+
+
+def test_data_uri_is_one_line(spark):
+    rows = ["x" * n for n in (0, 56, 57, 58, 300)]
+    assert values(spark, lambda c: T.data_uri(F.encode(c, "UTF-8")), rows) == ["data:image/png;base64," + base64.b64encode(x.encode()).decode() for x in rows]
