@@ -276,3 +276,36 @@ def test_small_lookups(spark):
     chosen = spark.createDataFrame([("a",), ("a",), ("b",)], "source_id string")
     got = selection.selection_diagnostics(chosen.unionByName(chosen.limit(0)), chosen, 5, 2).first()
     assert (got.candidate_count, got.available_source_count, got.selected_count, got.source_counts) == (3, 2, 3, {"a": 2, "b": 1})
+
+
+@pytest.mark.parametrize("primary", [True, False])
+def test_pairs_and_scores_over_cells(spark, monkeypatch, primary):
+    """Many small groups and batches; one article with more meetings than a batch; entities without a name and of two spellings; plain loops as the model."""
+    for name, value in (("ENTITY_BLOCK", 4), ("MEET_AT_ONCE", 9), ("AT_ONCE", 30), ("TABLE", 40)):
+        monkeypatch.setattr(stories, name, value)
+    r = random.Random(5)
+    names = [f"Name{i}" for i in range(9)] + ["NAME1", None]
+    rows = [(i * 7 % 61, [(n, n, r.choice(["ORG", "GPE"]), r.choice(["primary", "secondary"])) for n in r.sample(names, r.randint(0, 7))], " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9)))) for i in range(40)]
+    frame = spark.createDataFrame([*rows, (98, None, "a"), (99, [], None)], f"ord long, entities array<{schemas.ENTITY}>, text string")
+    low = lambda n: n and n.lower()
+    every = {i: {low(n) for _, n, _, _ in es} for i, es, _ in rows}
+    keys = {i: {low(n) for _, n, t, role in es if not primary or (t == "ORG" and role == "primary")} for i, es, _ in rows}
+    encode, texts = plugins.TermEncoder().encode, {i: x for i, _, x in rows}
+    weights = {i: encode(x) if x else {} for i, x in texts.items()}
+    want = {}
+    for a in every:
+        for b in every:
+            if a < b and keys[a] & keys[b]:
+                both = every[a] & every[b]
+                want[a, b] = (sorted(both, key=lambda n: (n is None, n or "")), len(both) / min(len(every[a]), len(every[b])), min(1.0, sum(w * weights[b].get(t, 0) for t, w in weights[a].items())))
+    got = stories.scored_pairs(frame, primary).collect()
+    assert len(got) == len(want) > 20
+    assert {(x.a, x.b): (x.shared_entities, x.entity_score) for x in got} == {p: w[:2] for p, w in want.items()}
+    assert {(x.a, x.b): x.lexical_score for x in got} == pytest.approx({p: w[2] for p, w in want.items()})
+    assert stories.scored_pairs(frame.where("ord > 97"), primary).count() == 0
+
+
+def test_nothing_of_a_pair_is_shuffled(spark):
+    rows = [(i, [(e, e, "ORG", "primary") for e in ("common", f"own{i}")]) for i in range(600)]
+    plan = stories.entity_pairs(spark.createDataFrame(rows, f"ord long, entities array<{schemas.ENTITY}>"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == 1
