@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import schemas
 from broadsheet.functions import text as T
+from broadsheet.session import cut
 
 SOURCE_GOAL = 4
 
@@ -94,13 +95,14 @@ def select_stories(candidates: DataFrame, target_items: int = 10, max_items_per_
     """Chosen candidates with their place ``position``, per edition if a column is named. [ORD-06, AGG-14]
 
     Rows beyond the cap within (source, section) can never be chosen, so they go first, in parallel; at most sources x sections x cap
-    rows are left for the sequential choice.
+    rows are left for the sequential choice. The windows see no texts; those are joined to what is chosen, which is written once.
     """
     group = F.col(edition).cast("string") if edition else F.lit("")
     rows = candidates.withColumn("_edition", group).withColumn("_source", F.coalesce("source_id", F.lit(""))).withColumn("_section", F.coalesce("section", F.lit("")))
     order = rank_order("published_at")
     within = Window.partitionBy("_edition", "_source", "_section").orderBy(*order)
-    pruned = rows.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= max_items_per_source)
+    ranking = rows.select("_edition", "_source", "_section", "story_id", "article_count", "source_count", "published_at", "confidence")
+    pruned = ranking.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= max_items_per_source)
     ranked = pruned.withColumn("_rank", F.row_number().over(Window.partitionBy("_edition").orderBy(*order))).select("_edition", "_rank", "story_id", "_source", "_section")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,9 +110,9 @@ def select_stories(candidates: DataFrame, target_items: int = 10, max_items_per_
         ids = choose(list(zip(pdf["story_id"], pdf["_source"], pdf["_section"], strict=True)), target_items, max_items_per_source)
         return pd.DataFrame({"_e": pdf["_edition"].iloc[0], "_id": ids, "position": range(1, len(ids) + 1)})
 
-    picks = ranked.groupBy("_edition").applyInPandas(fold, "_e string, _id string, position long")
+    picks = cut(ranked.groupBy("_edition").applyInPandas(fold, "_e string, _id string, position long"))
     joined = rows.join(picks, (F.col("_edition") == F.col("_e")) & (F.col("story_id") == F.col("_id")))
-    return joined.drop("_edition", "_source", "_section", "_e", "_id")
+    return cut(joined.drop("_edition", "_source", "_section", "_e", "_id"))
 
 
 def selection_diagnostics(candidates: DataFrame, selected: DataFrame, target_items: int = 10, max_items_per_source: int = 3) -> DataFrame:

@@ -188,3 +188,17 @@ def test_settings_are_checked():
     for wrong in ({"merge_threshold": 2}, {"target_items": 0}, {"entity_weight": 0, "lexical_weight": 0}, {"edition_date": "x"}, {"minimum_items": 99}):
         with pytest.raises(ValueError):
             daily.Settings(**wrong)
+
+
+def test_choice_is_made_without_texts(spark, monkeypatch):
+    plans, cut = [], selection.cut
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(selection, "cut", spied)
+    rows = _candidates(spark, [(f"s{i}", "World", f"p{i % 3}", 1, 1, f"2024-01-{10 + i}", None) for i in range(6)]).withColumn("headline", F.concat("story_id", F.lit(" says")))
+    got = selection.select_stories(rows, 4, 2).collect()
+    assert sorted(r.headline for r in got) == sorted(f"{r.story_id} says" for r in got) and len(got) == 4
+    assert len(plans) == 2 and "headline" not in plans[0] and "Window" not in plans[1]
