@@ -5,6 +5,7 @@ import html
 import re
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,13 @@ def test_scores(spark):
 def test_data_uri_is_one_line(spark):
     rows = ["x" * n for n in (0, 56, 57, 58, 300)]
     assert values(spark, lambda c: T.data_uri(F.encode(c, "UTF-8")), rows) == ["data:image/png;base64," + base64.b64encode(x.encode()).decode() for x in rows]
+
+
+def test_few_pages_are_strings_at_once(monkeypatch):
+    told = T._tokenised
+    monkeypatch.setattr(T, "PAGES_AT_ONCE", 3)
+    monkeypatch.setattr(T.memory, "trim", lambda: trims.append(1))
+    trims = []
+    pages = [f"<p>a{i} &amp; <b>b</b>" if i % 5 else None for i in range(10)]
+    got = list(T._texts(iter([pa.array(pages), pa.array([], pa.string())]), True))
+    assert [x.to_pylist() for x in got] == [[told(v, True) for v in pages], []] and len(trims) == 2
